@@ -55,8 +55,8 @@ class PrefixTokenizer:
         for piece in self.vocab:
             self.ends.add_word(piece.decode("latin-1"), piece)
         self.ends.make_automaton()
-        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(WORDS)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.grown: dict[bytes, tuple[list, list] | None] = {}
