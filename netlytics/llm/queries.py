@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, token_counts
+from . import jaccard_join, line_dedup, packing, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +28,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op4_jaccard_join, op8_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
