@@ -18,7 +18,6 @@ inside its one kept document all stay.  Document ids must be unique; rows whose
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -169,5 +168,3 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(apply, f"{schema}, n_lines long, n_dropped long")
 
 
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

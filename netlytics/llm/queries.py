@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_dedup, packing, token_counts
+from . import jaccard_join, line_dedup, packing, repeats, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op4_jaccard_join, op8_packing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op4_jaccard_join, op8_packing, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
