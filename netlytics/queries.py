@@ -1,0 +1,6 @@
+"""Graph queries over the test tables, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
