@@ -6,7 +6,7 @@ A byte goes if a string of ``length`` bytes covers it that also starts anywhere
    hash (the leftmost one) is the window's anchor.  Equal windows have equal anchors at equal places, so windows only need comparing where
    anchors meet.  Neighbouring windows share anchors: a row stands for a stretch of window starts, with
    its anchor's hash and the hash of its whole context (first to last byte of its windows).
-2. Rows are dealt by range of (anchor, context) and streamed once.  An anchor met once ends there.
+2. Rows are dealt by range of (anchor, context, place), so that a very common one spreads, and streamed once.  An anchor met once ends there.
    Contexts met twice repeat as a whole.  The other contexts of anchors met several times are open.
 3. Documents cut out their open contexts, and one copy of each whole repeat beside them.  Contexts of
    the same anchor go to the same bucket, and each bucket builds an index over its contexts: a suffix
@@ -80,30 +80,42 @@ def _stretches(length: int, gram: int):
 
 
 _WHOLE, _OPEN, _EDGE = 0, 1, 2
-_MET = "kind int, h long, c1 long, c2 long, doc long, lo int, n int"
+_MET = "kind int, h long, c1 long, c2 long, doc long, lo int, n int, copies int"
 
 
 def _meet(batches):
     """From rows sorted by (h, c1, c2): whole repeats and open contexts of anchors that meet.
 
     The first copy of a whole repeat is marked as open, too, if its anchor has open contexts: it is the
-    text that these may match.  The rows of a task's first and last anchor, and of anchors too long to
-    hold, leave as edges, to be decided by a count over all tasks.
+    text that these may match.  A task's first and last anchor, and anchors with too many rows to
+    hold, may go on in other tasks: one row for each of their contexts leaves as an edge, with the number of
+    its copies here, to be decided by the sum over all tasks.
     """
 
-    def out(kind, c):
+    def out(kind, c, copies=None):
         n = len(c[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, c)], names=["kind", "h", "c1", "c2", "doc", "lo", "n"])
+        last = np.ones(n, np.int32) if copies is None else copies.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, c), pa.array(last)], names=["kind", "h", "c1", "c2", "doc", "lo", "n", "copies"])
+
+    def edge(c):
+        new = np.ones(len(c[0]), bool)
+        new[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])
+        of_c = np.cumsum(new) - 1
+        copies = np.bincount(of_c)
+        whole = copies[of_c] > 1
+        if whole.any():
+            yield out(_WHOLE, [x[whole] for x in c])
+        yield out(_EDGE, [x[new] for x in c], copies)
 
     held, first, same = None, True, None
     for batch in batches:
-        c = [x.to_numpy() for x in batch.columns]
+        c = [x.to_numpy() for x in batch.columns[:6]]
         if not len(c[0]):
             continue
         if same is not None:
             k = int(np.searchsorted(c[0], same, side="right"))
             if k:
-                yield out(_EDGE, [x[:k] for x in c])
+                yield from edge([x[:k] for x in c])
             if k == len(c[0]):
                 continue
             c, same = [x[k:] for x in c], None
@@ -114,7 +126,7 @@ def _meet(batches):
             w = [x[:cut] for x in c]
             if first:
                 k = int(np.searchsorted(w[0], w[0][0], side="right"))
-                yield out(_EDGE, [x[:k] for x in w])
+                yield from edge([x[:k] for x in w])
                 w, first = [x[k:] for x in w], False
             if len(w[0]):
                 new_h = np.concatenate(([True], w[0][1:] != w[0][:-1]))
@@ -129,20 +141,21 @@ def _meet(batches):
                     yield out(_OPEN, [x[show] for x in w])
         held = [x[cut:] for x in c]
         if len(held[0]) > 100_000:
-            yield out(_EDGE, held)
+            yield from edge(held)
             same, held, first = held[0][0], None, False
     if held is not None:
-        yield out(_EDGE, held)
+        yield from edge(held)
 
 
 def _edges(met: DataFrame) -> DataFrame:
     """The edge rows of ``_meet`` decided by counts over all tasks, in the same form."""
-    rows = met.where(F.col("kind") == _EDGE).drop("kind")
-    contexts = rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "lo")).alias("one"))
-    totals = contexts.groupBy("h").agg(F.sum("copies").alias("met"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
-    known = rows.join(contexts, ["h", "c1", "c2"]).join(totals, "h").where("met > 1")
-    whole = known.where("copies > 1").select(F.lit(_WHOLE).alias("kind"), *rows.columns)
-    shown = known.where((F.col("single") > 0) & (F.struct("doc", "lo") == F.col("one"))).select(F.lit(_OPEN).alias("kind"), *rows.columns)
+    rows = met.where(F.col("kind") == _EDGE)
+    names = ["h", "c1", "c2", "doc", "lo", "n"]
+    contexts = rows.groupBy("h", "c1", "c2").agg(F.sum("copies").alias("met"), F.min(F.struct("doc", "lo")).alias("one"))
+    totals = contexts.groupBy("h").agg(F.sum("met").alias("all"), F.sum((F.col("met") == 1).cast("long")).alias("single"))
+    known = rows.select(*names).join(contexts, ["h", "c1", "c2"]).join(totals, "h").where("all > 1")
+    whole = known.where("met > 1").select(F.lit(_WHOLE).alias("kind"), *names)
+    shown = known.where((F.col("single") > 0) & (F.struct("doc", "lo") == F.col("one"))).select(F.lit(_OPEN).alias("kind"), *names)
     return whole.unionByName(shown)
 
 
@@ -311,10 +324,10 @@ def repeated_stretches(df: DataFrame, *, id_col: str, text_col: str, length: int
     """(doc, lo, n): stretches of starts of repeated strings of ``length`` bytes."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    order = ["h", "c1", "c2"]
+    order = ["h", "c1", "c2", "doc", "lo"]
     rows = docs.mapInArrow(_stretches(length, gram), "h long, c1 long, c2 long, doc long, lo int, n int")
     met = materialize(rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_meet, _MET), "met")
-    met = met.where(F.col("kind") != _EDGE).unionByName(_edges(met))
+    met = met.where(F.col("kind") != _EDGE).drop("copies").unionByName(_edges(met))
     whole = met.where(F.col("kind") == _WHOLE).select("doc", "lo", "n")
 
     shown = met.where(F.col("kind") == _OPEN)
