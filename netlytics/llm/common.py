@@ -57,7 +57,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 # ---------------------------------------------------------------- hashing
 
 _BASE = 0x9E3779B97F4A7C15
-_BASES = (_BASE, 0xD1B54A32D192ED03)
+BASES = (_BASE, 0xD1B54A32D192ED03)
 
 
 @lru_cache(maxsize=4)

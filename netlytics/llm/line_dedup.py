@@ -25,20 +25,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import BASES, U64, lower_ascii, materialize, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
 
-SPACES = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STREAMED = "kind int, h1 long, h2 long, doc long, pos int, docs long"
 _DROP, _PENDING, _COUNT = 0, 1, 2
 
 
+def line_keys(raw: bytes, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, position) of the lines of a text whose key has at least ``min_chars`` code points."""
+    a = lower_ascii(np.frombuffer(raw, np.uint8))
+    breaks = np.flatnonzero(a == 10)
+    start, end = word_bounds(a)
+    first = np.searchsorted(start, np.concatenate(([0], breaks + 1)))
+    last = np.searchsorted(start, np.concatenate((breaks, [len(a)]))) - 1
+    pos = np.flatnonzero(last >= first)
+    lo, hi = start[first[pos]], end[last[pos]]
+    chars = np.concatenate(([0], np.cumsum((a & 0xC0) != 0x80)))
+    long = chars[hi] - chars[lo] >= min_chars
+    pos, lo, hi = pos[long], lo[long], hi[long]
+    if not len(pos):
+        return np.zeros(0, U64), np.zeros(0, U64), pos
+    return spans(prefix_hash(a), lo, hi), spans(prefix_hash(a, 11, BASES[1]), lo, hi, BASES[1]), pos
+
+
 def line_hashes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """(h1, h2, doc, pos) of each line that is long enough."""
-    lines = df.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    key = F.translate(F.btrim("line", F.lit(SPACES)), _UPPER, _LOWER)
-    keyed = lines.where(F.col("doc").isNotNull()).select("doc", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc", "pos")
+
+    def run(batches):
+        for batch in batches:
+            parts = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for doc, value in zip(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), strict=True):
+                h1, h2, pos = line_keys(text_bytes(value), min_chars)
+                parts.append((h1, h2, np.full(len(pos), doc, np.int64), pos))
+            h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc), pa.array(pos.astype(np.int32))], names=["h1", "h2", "doc", "pos"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc long, pos int")
 
 
 def _stream(min_docs: int):

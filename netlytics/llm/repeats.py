@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASES, FULL, U64, materialize, prefix_hash, shuffle_partitions, spans, text_bytes
+from .common import BASES, FULL, U64, materialize, prefix_hash, shuffle_partitions, spans, text_bytes
 
 _SEEDS = (7, 11)
 
@@ -60,9 +60,9 @@ def anchors(raw: bytes, length: int, gram: int):
     lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     hi = np.concatenate((lo[1:], [len(least)]))
     ends = hi - 1 + length
-    second = prefix_hash(a, _SEEDS[1], _BASES[1])
+    second = prefix_hash(a, _SEEDS[1], BASES[1])
     size = (hi - lo).astype(U64)
-    return least[lo], spans(c, lo, ends) + size, spans(second, lo, ends, _BASES[1]), lo, hi
+    return least[lo], spans(c, lo, ends) + size, spans(second, lo, ends, BASES[1]), lo, hi
 
 
 def _stretches(length: int, gram: int):
@@ -312,7 +312,7 @@ def _window_hashes(length: int):
             for doc, lo, n, c in zip(*(batch.column(x).to_pylist() for x in ("doc", "lo", "n", "context")), strict=True):
                 a, at = np.frombuffer(c, np.uint8), np.arange(n)
                 one = spans(prefix_hash(a), at, at + length)
-                two = spans(prefix_hash(a, _SEEDS[1], _BASES[1]), at, at + length, _BASES[1])
+                two = spans(prefix_hash(a, _SEEDS[1], BASES[1]), at, at + length, BASES[1])
                 parts.append((one, two, np.full(n, doc, np.int64), at + lo))
             w1, w2, doc, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32))], names=["w1", "w2", "doc", "lo"])
