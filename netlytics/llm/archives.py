@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import bounded, materialize, shuffle_partitions
 
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _M16, _M32 = 0xFFFF, 0xFFFFFFFF
@@ -212,6 +212,7 @@ _CHUNKS = "archive string, chunk int, data binary"
 
 def write_packages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, archive_bytes: int = 16 << 20, chunk_bytes: int = 1 << 20) -> DataFrame:
     """The pages as packages of about ``archive_bytes``, a table of (archive, chunk, data)."""
+    bounded(pages)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # Payload ids travel without payloads; counts are combined before the shuffle, so equal pages are one row for each task.
@@ -254,6 +255,7 @@ def _batch(records: list[dict], payloads: bool) -> pa.RecordBatch:
 
 def read_packages(chunks: DataFrame, *, payloads: bool = False) -> DataFrame:
     """The records of a table of packages; a task holds one package at a time."""
+    bounded(chunks)
 
     def records(parts):
         found = list(PackageReader(ChunkRange(parts)).records())
@@ -278,6 +280,7 @@ def read_packages(chunks: DataFrame, *, payloads: bool = False) -> DataFrame:
 
 def read_package_files(paths: DataFrame, *, path_col: str = "path", payloads: bool = False) -> DataFrame:
     """The records of package files on a file system that all executors mount, by ranges of each file."""
+    bounded(paths)
 
     def read(batches):
         for batch in batches:

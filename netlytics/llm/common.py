@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,17 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``: rows are counted by default, and texts can be long.  A smaller setting of the user's stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(key)) or 0) > BATCH_BYTES or not conf.get(key).isdigit():
+        conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, lower_ascii, materialize, mix, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
+from .common import U64, bounded, lower_ascii, materialize, mix, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
 from .components import connected_components
 
 _HOT, _UNKNOWN = 63, 5  # classes are the binary logarithms of counts; shingles that were not counted rank as if in about 32 documents
@@ -323,6 +323,7 @@ def similar_components(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, pivots: int = 16
 ) -> DataFrame:
     """(id, n_shingles, component_id): the set size of each document and the smallest id that links of Jaccard >= num/den lead to, its own included."""
+    bounded(df)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     summary = materialize(docs.mapInArrow(_summaries(k, universe), "doc long, n long, f1 long, f2 long, u long"), "summary")

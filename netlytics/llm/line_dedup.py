@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, U64, lower_ascii, materialize, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
+from .common import BASES, U64, bounded, lower_ascii, materialize, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
 
 _STREAMED = "kind int, h1 long, h2 long, doc long, pos int, docs long"
 _DROP, _PENDING, _COUNT = 0, 1, 2
@@ -128,6 +128,7 @@ def _stream(min_docs: int):
 
 def dropped_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, pos) of the lines to drop."""
+    bounded(df)
     spark = df.sparkSession
     hashes = line_hashes(df, id_col=id_col, text_col=text_col, min_chars=min_chars)
     order = ["h1", "h2", F.col("doc").desc()]
@@ -168,6 +169,7 @@ def keep_bitmaps(df: DataFrame, **options) -> DataFrame:
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``df`` with the text column reduced to the kept lines, and ``n_lines`` and ``n_dropped`` (long) added."""
+    bounded(df)
     maps = keep_bitmaps(df, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs).select(F.col("doc").alias("__doc"), F.col("bitmap").alias("__bitmap"))
     names = df.columns
     joined = df.join(maps, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*[df[c] for c in names], "__bitmap")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, prefix_hash, spans, text_bytes, word_bounds
+from .common import U64, bounded, mix, prefix_hash, spans, text_bytes, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -134,6 +134,7 @@ class LineField:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500) -> LineField:
     """A field from at most ``max_labelled`` labelled documents, chosen by a hash of their ids."""
+    bounded(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).dropDuplicates(["id"])
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
@@ -157,6 +158,7 @@ def apply_rules(
     df: DataFrame, field: LineField, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_repeat: tuple[int, int] = (30, 100), min_content: float = 0.5
 ) -> DataFrame:
     """(id, counts, content_share, base_failed, kept) of each whole text; one narrow pass."""
+    bounded(df)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded, materialize
 
 _LOADED: dict[str, object] = {}
 
@@ -100,6 +100,7 @@ def pack_documents(
     df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, fan_in: int = 8
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece."""
+    bounded(df)
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     source = df.select(F.col(id_col), F.col(text_col))

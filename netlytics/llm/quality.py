@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import bounded, text_bytes
 
 PASSAGE = 512
 _KINDS = 16
@@ -124,6 +124,7 @@ def held_out(id_col) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, **options) -> AttentionModel:
     """A model from at most ``max_labelled`` documents that are labelled and not held out."""
+    bounded(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label"), F.count_distinct("label").alias("k")).where("k = 1").drop("k")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
@@ -149,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: AttentionModel, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (double) and ``predicted`` (int) added; one narrow pass."""
+    bounded(docs)
     names = docs.columns
     at = names.index(text_col)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, FULL, U64, materialize, prefix_hash, shuffle_partitions, spans, text_bytes
+from .common import BASES, FULL, U64, bounded, materialize, prefix_hash, shuffle_partitions, spans, text_bytes
 
 _SEEDS = (7, 11)
 
@@ -362,6 +362,7 @@ def remove_repeats(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, hot: int = 4096, bucket_bytes: int = 1 << 21
 ) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept): what is left of each text's UTF-8 bytes, and the removed runs."""
+    bounded(df)
     gram = gram or max(1, length // 2)
     options = {"id_col": id_col, "text_col": text_col, "length": length, "gram": gram, "hot": hot, "bucket_bytes": bucket_bytes}
     stretches = repeated_stretches(df, **options).groupBy("doc").agg(F.collect_list("lo").alias("__lo"), F.collect_list("n").alias("__n")).withColumnRenamed("doc", "__doc")

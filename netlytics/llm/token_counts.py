@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 #: The byte-level tokenizers' word pattern (a fixed public value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
@@ -227,6 +229,7 @@ def load(path: str) -> PrefixTokenizer:
 
 def token_counts(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text, one narrow pass without a shuffle."""
+    bounded(df)
 
     def run(batches):
         tokenizer = load(path)
@@ -248,6 +251,7 @@ def token_counts(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
 def truncate_to_budget(df: DataFrame, path: str, budget: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_tokens): each text cut to the most characters that ``budget`` tokens hold."""
+    bounded(df)
 
     def run(batches):
         tokenizer = load(path)
