@@ -217,6 +217,7 @@ def run_layout(graph: Graph, algorithm: str, iterations: int = 1000, properties:
         return circular(graph, c)
     if isinstance(c, RandomLayout):
         return random_layout(graph, c)
+    graph = graph.checkpoint()  # every round reads it
     if isinstance(c, Noverlap):
         return _apart(graph, n, F.col("size").cast("double") * c.ratio + c.margin / 2, c.speed / 3, stop)
     if isinstance(c, LabelAdjust):

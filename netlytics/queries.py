@@ -300,7 +300,7 @@ def color_by_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.color_by_ranking(copurchase(spark, sf_dir), "p_retailprice").nodes.select("id", "r", "g", "b")
 
 
-@query(_copurchase(_RANKED, "SELECT CAST(id AS VARCHAR) AS id, round(5.0 + (p - lo) / (hi - lo) * 45.0, 4) AS size FROM v, m"))
+@query(_copurchase(_RANKED, "SELECT CAST(id AS VARCHAR) AS id, round(CAST(CAST(5.0 + (p - lo) / (hi - lo) * 45.0 AS FLOAT) AS DOUBLE), 4) AS size FROM v, m"))
 def size_by_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.size_by_ranking(copurchase(spark, sf_dir), "p_retailprice").nodes.select("id", F.round(F.col("size").cast("double"), 4).alias("size"))
 

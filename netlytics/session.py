@@ -101,7 +101,8 @@ class Session:
 
     def _change(self, result) -> dict:
         graph, more = result if isinstance(result, tuple) else (result, {})
-        self.graph = graph
+        # Changes are made at once, so that plans do not pile up over a long session.
+        self.graph = graph if graph is self.graph else graph.checkpoint()
         return more
 
     def _filtered(self, graph: G.Graph) -> dict:
