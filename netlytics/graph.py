@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,11 @@ class GraphError(ValueError):
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder all executors share (``spark.checkpoint.dir``)."""
+    """``df`` written as a table to the folder all executors share (``spark.checkpoint.dir``) and read back.
+
+    Not ``checkpoint()``: that keeps what the optimizer has inferred about the columns, which over the
+    rounds of a loop doubles each time.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +35,9 @@ def durable(df: DataFrame) -> DataFrame:
             path = tempfile.mkdtemp(prefix="netlytics-checkpoints-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         context.setCheckpointDir(path)
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/netlytics/{context.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def start_position(id_col, axis: str):
