@@ -26,6 +26,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded, materialize
 
@@ -130,7 +131,7 @@ def pack_documents(
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "bin", "bin_offset", "fill", "open", "grp"]
-    kinds = pa.from_numpy_dtype(np.int64) if kind == "bigint" else {"int": pa.int32(), "string": pa.string()}[kind]
+    kinds = to_arrow_type(df.schema[id_col].dataType)
     pieces = materialize(source.mapInArrow(first_level, f"`{id_col}` {kind}, {_PIECES}"), "pieces")
 
     bins = pieces.where("open").select("bin", "fill", "grp").distinct()
