@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Words are maximal runs without ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z is lower-cased.  An
-item's windows are its runs of ``window`` words (a shorter item is one window).  With ``span`` the
-shortest window, each text keeps the smallest hash of its k-word grams in every run of ``span`` words.
+item's windows are its runs of ``window`` words (a shorter item is one window).  A document keeps the
+smallest hash of its k-word grams in every run of ``span`` words, for each length ``span`` of windows that
+items have: one, or a few more where items are short.  An item keeps those for its own length.
 Equal runs keep equal hashes, so every window that occurs in a document shares one.
 
 1. Documents' kept hashes join the items' kept hashes.  Only numbers are joined; Spark broadcasts the
@@ -16,6 +17,8 @@ Null texts have no words.  Documents without an id are left out; an empty benchm
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,24 +77,32 @@ def contamination(
 ) -> DataFrame:
     """(id, n_words, n_hit, items, contaminated) of each document: the words in windows of items, the ids of these items, and whether they are a ``share`` of the words."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("item_words")).where("item IS NOT NULL AND size(item_words) > 0")
-    span = items.agg(F.least(F.lit(window), F.min(F.size("item_words")))).first()[0] or window
-    k = min(gram, span)
-    w = span - k + 1
+    length = F.least(F.lit(window), F.size("item_words"))
+    spans = sorted(r[0] for r in items.select(length).distinct().collect()) or [window]  # at most ``window`` numbers
+    ks = sorted({min(gram, s) for s in spans})
+
+    def item_hashes(span: int) -> DataFrame:
+        k = min(gram, span)
+        own = items.where(length == span).select("item", F.size("item_words").alias("m"), grams(F.col("item_words"), k).alias("g"))
+        own = own.withColumn("kept", kept_hashes(F.col("g"), span - k + 1)).select("item", "m", "kept", F.posexplode("g").alias("place", "fp"))
+        return own.where(F.array_contains("kept", F.col("fp")))
 
-    item_grams = items.select("item", F.size("item_words").alias("m"), grams(F.col("item_words"), k).alias("g"))
-    item_kept = item_grams.withColumn("kept", kept_hashes(F.col("g"), w)).select("item", "m", "kept", F.posexplode("g").alias("place", "fp")).where(F.array_contains("kept", F.col("fp")))
+    item_kept = reduce(DataFrame.unionByName, map(item_hashes, spans))
     found = item_kept.groupBy("fp").agg(F.collect_list(F.struct("item", "m", "place")).alias("places"))
 
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     counted = source.select("doc", words(F.col("text")).alias("words"))
     # One more row for each document, without a hash, carries its word count to the same grouping.
-    both = _let(F.col("words"), lambda x: F.struct(F.size(x).alias("n_words"), F.array_append(F.array_distinct(kept_hashes(grams(x, k), w)), F.lit(None).cast("long")).alias("fps")))
+    def kept(x: Column) -> Column:
+        return F.concat(*[kept_hashes(grams(x, min(gram, s)), s - min(gram, s) + 1) for s in spans])
+
+    both = _let(F.col("words"), lambda x: F.struct(F.size(x).alias("n_words"), F.array_append(F.array_distinct(kept(x)), F.lit(None).cast("long")).alias("fps")))
     hashed = counted.select("doc", both.alias("b")).select("doc", F.col("b.n_words").alias("n_words"), F.explode("b.fps").alias("fp"))
     met = hashed.join(found.select("fp", F.lit(True).alias("met")), "fp", "left").where("met OR fp IS NULL")
     per_doc = materialize(met.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.collect_set("fp").alias("fps")), "fingerprints")
 
     candidates = per_doc.where("size(fps) > 0").select("doc", "fps")
-    gram_at = F.transform(grams(words(F.col("text")), k), lambda x, i: F.struct(x.alias("fp"), i.alias("at")))
+    gram_at = _let(words(F.col("text")), lambda x: F.concat(*[F.transform(grams(x, k), lambda g, i: F.struct(g.alias("fp"), i.alias("at"))) for k in ks]))
     at = F.filter(gram_at, lambda s: F.array_contains("fps", s["fp"]))
     starts = candidates.join(source, "doc").select("doc", F.explode(at).alias("s"))
     # Grams of a document that meet an item: joined by hash, then one row for each alignment.

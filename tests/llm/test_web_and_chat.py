@@ -138,7 +138,7 @@ def test_contamination(spark, short):
     vocabulary = ["a", "b", "Cc", "dé", "e1", "f", "G"]
     prose = lambda n: " ".join(r.choice(vocabulary) + r.choice(["", ",", "."]) for _ in range(n))
     items = [(i, prose(r.randint(13, 40))) for i in range(12)] + [(20, "a a a " * 10), (21, None), (22, "...")]
-    items += [(30, "Cc Cc b"), (31, "f"), (32, "f")] if short else []
+    items += [(30, "Cc Cc b"), (31, "f"), (32, "f"), (33, prose(8)), (34, prose(12))] if short else []
     texts = [prose(r.randint(0, 60)) for _ in range(60)]
     for i in range(0, 60, 3):
         w = items[i % 12][1].split()
