@@ -255,6 +255,30 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(scalars["average_path_length"], 9), scalars["diameter"], scalars["radius"])], "average_path_length double, diameter long, radius long")
 
 
+
+_ALL_PAIRS = _PAIRS.replace("FROM e WHERE w >= 3", "FROM e")
+
+
+@query()
+def betweenness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole graph; its SQL would join all pairs with all nodes between them, so tests compare with brute force."""
+    return S.distances(copurchase(spark, sf_dir).checkpoint())[0].select("id", F.round("betweenesscentrality", 9).alias("betweenesscentrality"))
+
+
+@query(_copurchase(_ALL_PAIRS, """SELECT CAST(src AS VARCHAR) AS id, round(count(*) / sum(d)::DOUBLE, 9) AS closnesscentrality, round(sum(1.0::DOUBLE / d) / (max(k) - 1), 9) AS harmonicclosnesscentrality,
+CAST(max(d) AS DOUBLE) AS eccentricity FROM b CROSS JOIN k WHERE d > 0 GROUP BY src""", True))
+def closeness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.distances(copurchase(spark, sf_dir).checkpoint())[0]
+    return d.select("id", F.round("closnesscentrality", 9).alias("closnesscentrality"), F.round("harmonicclosnesscentrality", 9).alias("harmonicclosnesscentrality"), "eccentricity")
+
+
+@query(_copurchase(_ALL_PAIRS, """SELECT round(sum(d) / count(*)::DOUBLE, 9) AS average_path_length, CAST(max(d) AS BIGINT) AS diameter,
+(SELECT CAST(min(m) AS BIGINT) FROM (SELECT max(d) AS m FROM b WHERE d > 0 GROUP BY src)) AS radius FROM b WHERE d > 0""", True))
+def path_length_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scalars = S.distances(copurchase(spark, sf_dir).checkpoint())[1]
+    return spark.createDataFrame([(round(scalars["average_path_length"], 9), scalars["diameter"], scalars["radius"])], "average_path_length double, diameter long, radius long")
+
+
 _BY_BRAND = """
 m AS (SELECT p_partkey AS id, p_brand AS community FROM part), ec AS (SELECT a.community AS cs, b.community AS ct FROM e JOIN m a ON a.id = e.s JOIN m b ON b.id = e.t)"""
 
