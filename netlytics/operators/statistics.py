@@ -256,12 +256,34 @@ def modularity_score(graph: Graph, membership: DataFrame, resolution: float = 1.
     return total.select(F.when(F.col("k2") > 0, 2 * F.col("inside") / F.col("k2") - resolution * F.col("squares") / (F.col("k2") * F.col("k2"))).otherwise(0.0).alias("modularity"))
 
 
-def _local_moves(links: DataFrame, k: DataFrame, total: float, resolution: float, rounds: int) -> DataFrame:
-    """(id, community): nodes move to the neighbouring community of the greatest gain; rounds alternate between moves to smaller and to larger community names, so that two nodes never swap."""
-    now = durable(k.select("id", "k", F.col("id").alias("c")))
-    idle = 0
-    for i in range(rounds):
+def _score(links: DataFrame, sizes: DataFrame, now: DataFrame, total: float, resolution: float) -> float:
+    """The modularity of the communities ``c``, whose sums of ``k`` are ``kc`` in sizes."""
+    to = links.join(now.select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(now.select(F.col("id").alias("t"), F.col("c").alias("ct")), "t")
+    inside = to.where("cs = ct").agg(F.sum("w")).first()[0] or 0.0
+    return inside / total - resolution * sizes.agg(F.sum(F.col("kc") * F.col("kc"))).first()[0] / (total * total)
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """Moves (id, c, to, gain) that are the best of all at the community they leave and at the one they enter: their gains add up."""
+    rank = F.struct("gain", "id")
+    best = moves.select(F.explode(F.array("c", "to")).alias("at"), rank.alias("rank")).groupBy("at").agg(F.max("rank").alias("best"))
+    left, entered = best.toDF("c", "b1"), best.toDF("to", "b2")
+    return moves.withColumn("rank", rank).join(left, "c").join(entered, "to").where("rank = b1 AND rank = b2").select("id", "c", "to", "gain")
+
+
+def _local_moves(links: DataFrame, k: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(id, community): nodes move to the neighbouring community of the greatest gain, until no move gains.
+
+    Rounds alternate between moves to smaller and to larger community names, so that two nodes never swap.
+    Each round raises modularity, which ends them: if its moves made at once do not, only those are made
+    that touch no common community.
+    """
+    links, now = durable(links), durable(k.select("id", "k", F.col("id").alias("c")))
+    score, idle, i = None, 0, 0
+    while idle < 2:
         sizes = now.groupBy("c").agg(F.sum("k").alias("kc"))
+        if score is None:
+            score = _score(links, sizes, now, total, resolution)
         to = links.where("s <> t").join(now.select(F.col("id").alias("t"), F.col("c").alias("to")), "t").groupBy("s", "to").agg(F.sum("w").alias("w"))
         here = now.select(F.col("id").alias("s"), "k", "c")
         options = here.join(to, "s").join(sizes.toDF("to", "kt"), "to")
@@ -269,28 +291,32 @@ def _local_moves(links: DataFrame, k: DataFrame, total: float, resolution: float
         kt = F.col("kt") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
         options = options.withColumn("gain", F.col("w") - resolution * F.col("k") * kt / total)
         stay = options.where("to = c").select("s", F.col("gain").alias("stay"))
-        own = here.join(sizes.toDF("c", "kc"), "c").select("s", (-resolution * F.col("k") * (F.col("kc") - F.col("k")) / total).alias("alone"))
+        own = here.join(sizes.toDF("c", "kc"), "c").select("s", "c", (-resolution * F.col("k") * (F.col("kc") - F.col("k")) / total).alias("alone"))
         allowed = F.col("to") < F.col("c") if i % 2 == 0 else F.col("to") > F.col("c")
         best = options.where(allowed).groupBy("s").agg(F.max(F.struct("gain", "to")).alias("best"))
-        moves = best.join(stay, "s", "left").join(own, "s").where(F.col("best.gain") > F.coalesce("stay", "alone") + 1e-12).select(F.col("s").alias("id"), F.col("best.to").alias("to"))
-        now = durable(now.join(moves, "id", "left").select("id", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-        moved = now.where("moved").count()
-        now = now.drop("moved")
-        idle = idle + 1 if moved == 0 else 0
-        if idle == 2:
-            break
+        more = F.col("best.gain") - F.coalesce("stay", "alone")
+        moves = durable(best.join(stay, "s", "left").join(own, "s").where(more > 1e-12).select(F.col("s").alias("id"), "c", F.col("best.to").alias("to"), more.alias("gain")))
+        i, idle = i + 1, idle + 1
+        if moves.isEmpty():
+            continue
+        for chosen in (moves, _apart(moves)):
+            new = durable(now.join(chosen.select("id", "to"), "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")))
+            found = _score(links, new.groupBy("c").agg(F.sum("k").alias("kc")), new, total, resolution)
+            if found > score:
+                now, score, idle = new, found, 0
+                break
     return now.select("id", F.col("c").alias("community"))
 
 
-def louvain(graph: Graph, resolution: float = 1.0, rounds: int = 12, levels: int = 10) -> DataFrame:
-    """(id, community) by repeated local moves and contraction (Blondel et al. 2008; resolution as Reichardt & Bornholdt 2006); never worse than single nodes."""
+def louvain(graph: Graph, resolution: float = 1.0) -> DataFrame:
+    """(id, community) by repeated local moves and contraction, until neither changes anything (Blondel et al. 2008; resolution as Reichardt & Bornholdt 2006); never worse than single nodes."""
     e = graph.edges.select(F.col("source").alias("s"), F.col("target").alias("t"))
     links = durable(e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t"))).groupBy("s", "t").agg(F.count("*").cast("double").alias("w")))
     total = links.agg(F.sum("w")).first()[0]
     member = durable(graph.nodes.select("id", F.col("id").alias("community")))
     best = modularity_score(graph, member, resolution).first()[0]
-    for _ in range(levels if total else 0):
-        found = _local_moves(links, links.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")), total, resolution, rounds)
+    while total:
+        found = _local_moves(links, links.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")), total, resolution)
         new = durable(member.join(found.toDF("community", "next"), "community", "left").select("id", F.coalesce("next", "community").alias("community")))
         score = modularity_score(graph, new, resolution).first()[0]
         if score <= best + 1e-9:

@@ -207,12 +207,17 @@ def hits_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hits(copurchase(spark, sf_dir), rounds=5, tolerance=0).select("id", F.round("Authority", 8).alias("Authority"), F.round("Hub", 8).alias("Hub"))
 
 
-def _eigen_sql(rounds: int) -> str:
+@query(_hits_sql(10))
+def hits_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hits(copurchase(spark, sf_dir), rounds=10, tolerance=0).select("id", F.round("Authority", 8).alias("Authority"), F.round("Hub", 8).alias("Hub"))
+
+
+def _eigen_sql(rounds: int, of=_trade, name: str = "id") -> str:
     steps = ["v0 AS (SELECT id, 1.0::DOUBLE AS v FROM n)"]
     for i in range(1, rounds + 1):
         steps.append(f"r{i} AS (SELECT n.id, n.v + coalesce(sum(p.v), 0.0) AS v FROM v{i - 1} n LEFT JOIN e ON e.t = n.id LEFT JOIN v{i - 1} p ON p.id = e.s GROUP BY n.id, n.v)")
         steps.append(f"v{i} AS MATERIALIZED (SELECT id, v / (SELECT max(v) FROM r{i}) AS v FROM r{i})")
-    return _trade(", ".join(steps), f"SELECT id, round(v, 8) AS eigencentrality FROM v{rounds}")
+    return of(", ".join(steps), f"SELECT {name}, round(v, 8) AS eigencentrality FROM v{rounds}")
 
 
 @query(_eigen_sql(8))
@@ -220,6 +225,11 @@ def eigenvector_8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.eigenvector(trade(spark, sf_dir), rounds=8).withColumn("eigencentrality", F.round("eigencentrality", 8))
 
 
+@query(_eigen_sql(20, _copurchase, "CAST(id AS VARCHAR) AS id"))
+def eigen_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.eigenvector(copurchase(spark, sf_dir), rounds=20).withColumn("eigencentrality", F.round("eigencentrality", 8))
+
+
 _PAIRS = """
 e2 AS (SELECT s, t FROM e WHERE w >= 3), n2 AS (SELECT s AS id FROM e2 UNION SELECT t FROM e2),
 u2 AS (SELECT s, t FROM e2 UNION SELECT t, s FROM e2), k AS (SELECT count(*) AS k FROM n2),
@@ -296,7 +306,7 @@ def modularity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.compute_modularity(trade(spark, sf_dir))[0].nodes.select("id", "modularity_class")
+    return S.compute_modularity(copurchase(spark, sf_dir).checkpoint())[0].nodes.select("id", "modularity_class")
 
 
 # ---------------------------------------------------------------- appearance
