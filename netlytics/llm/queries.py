@@ -42,6 +42,10 @@ def op5_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(_table(spark, sf_dir, "conversations"))
 
 
+def op5_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(quotes.link_quotations(_table(spark, sf_dir, "conversations")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archives.round_trip(_table(spark, sf_dir, "pages"), min_revisit=100)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,7 +72,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
