@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -143,3 +144,8 @@ def word_bounds(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def has_odd_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether some rows have no id or one that another row has, too."""
+    return not df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()

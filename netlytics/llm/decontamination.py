@@ -12,7 +12,8 @@ Equal runs keep equal hashes, so every window that occurs in a document shares o
    item.  Each alignment is extended over the whole item, word by word; what is equal over a whole
    window is hit.  So the result does not depend on hashes.
 
-Null texts have no words.  Documents without an id are left out; an empty benchmark hits nothing.
+Null texts have no words.  ``contamination`` leaves out documents without an id and takes rows with the same id
+as one document; ``drop_contaminated`` judges each row by itself.  An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import has_odd_ids, materialize
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -140,6 +141,9 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    gone = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` without the contaminated documents; every row is one, with an id of its own or not."""
+    rows, key = docs, id_col
+    if has_odd_ids(docs, id_col):
+        rows, key = materialize(docs.withColumn("__at", F.monotonically_increasing_id()), "rows"), "__at"
+    gone = contamination(rows, benchmark, id_col=key, **options).where("contaminated").select(F.col(key).alias("__gone"))
+    return rows.join(gone, F.col(key) == F.col("__gone"), "left_anti").select(*docs.columns)

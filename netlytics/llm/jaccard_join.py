@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded, lower_ascii, materialize, mix, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
+from .common import U64, bounded, has_odd_ids, lower_ascii, materialize, mix, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
 from .components import connected_components
 
 _HOT, _UNKNOWN = 63, 5  # classes are the binary logarithms of counts; shingles that were not counted rank as if in about 32 documents
@@ -356,7 +356,19 @@ def similar_components(
 
 
 def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component."""
-    found = similar_components(df, id_col=id_col, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep"))
-    return df.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    """The rows of ``df`` whose id is the smallest of its component.
+
+    Every row is a document of its own: those without an id, and all but one of those with the same id, are
+    compared like the others, and come after all ids.
+    """
+    if not has_odd_ids(df, id_col):
+        found = similar_components(df, id_col=id_col, **options)
+        keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep"))
+        return df.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
+    rows = materialize(df.withColumn("__at", F.monotonically_increasing_id()), "rows")
+    named = F.col(id_col).cast("long")
+    after = (rows.agg(F.max(named)).first()[0] or 0) + 1
+    firsts = rows.where(named.isNotNull()).groupBy(named.alias("__id")).agg(F.min("__at").alias("__at"))
+    rows = rows.join(firsts, "__at", "left").withColumn("__row", F.coalesce("__id", F.lit(after) + F.col("__at")))
+    found = similar_components(rows, id_col="__row", **options).where(F.col("__row") == F.col("component_id")).select("__row")
+    return rows.join(found, "__row", "left_semi").select(*df.columns)
