@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import re
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 U64 = np.uint64
 FULL = U64(0xFFFFFFFFFFFFFFFF)
@@ -22,10 +24,13 @@ FULL = U64(0xFFFFFFFFFFFFFFFF)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is made and set.
+    Only where that setting is absent on one machine (tests) a temporary folder is made and set; executors
+    elsewhere could not read it, so a cluster without the setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="netlytics-shared-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{path}")
@@ -33,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the re-read of a file, never the recomputation of
@@ -41,7 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/netlytics-llm/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,30 +74,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 # ---------------------------------------------------------------- hashing
 
-_BASE = 0x9E3779B97F4A7C15
-BASES = (_BASE, 0xD1B54A32D192ED03)
-
-
-@lru_cache(maxsize=4)
-def byte_table(seed: int = 7) -> np.ndarray:
-    """A random 64-bit value for each byte."""
-    return np.random.RandomState(seed).randint(1, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (the table grows as needed)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
-        up, down = np.ones(size, U64), np.ones(size, U64)
-        np.multiply.accumulate(np.full(size - 1, base, U64), out=up[1:])
-        np.multiply.accumulate(np.full(size - 1, pow(base, -1, 2**64), U64), out=down[1:])
-        _powers[base] = have = (up, down)
-    return have[0][:n], have[1][:n]
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (a common finaliser)."""
@@ -104,16 +85,72 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(a: np.ndarray, seed: int = 7, base: int = _BASE) -> np.ndarray:
-    """c with c[j] - c[i] = hash of a[i:j] times base**i, for spans()."""
-    c = np.zeros(len(a) + 1, U64)
-    np.cumsum(byte_table(seed)[a] * powers(len(a), base)[0], dtype=U64, out=c[1:])
-    return c
+def digests(raw, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit BLAKE2 digests of byte spans [start, end); equality of texts is decided by these."""
+    view, blake = memoryview(raw), hashlib.blake2b
+    out = b"".join([blake(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    pairs = np.frombuffer(out, U64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_LONG = 64
+
+
+def span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time are mixed in; spans over ``_LONG`` bytes take half a digest."""
+    if not len(start):
+        return np.zeros(0, U64)
+    padded = np.zeros(len(a) + 8, np.uint8)
+    padded[: len(a)] = a
+    eight = np.ndarray((len(a) + 1,), U64, buffer=padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero(size <= _LONG)
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        h[long] = digests(a, start[long], end[long])[0]
+    return h
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def byte_table() -> np.ndarray:
+    """A random odd 64-bit value for each byte."""
+    return np.random.RandomState(7).randint(1, 2**63 - 1, 256).astype(U64) * U64(2) + U64(1)
 
 
-def spans(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hashes of the byte spans [start, end)."""
-    return mix((c[end] - c[start]) * powers(len(c), base)[1][start])
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n (the table grows as needed)."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, 1 << 16, 2 * len(_powers[0][0]) if _powers else 0)
+        up, down = np.ones(size, U64), np.ones(size, U64)
+        np.multiply.accumulate(np.full(size - 1, _BASE, U64), out=up[1:])
+        np.multiply.accumulate(np.full(size - 1, pow(_BASE, -1, 2**64), U64), out=down[1:])
+        _powers[:] = [(up, down)]
+    return _powers[0][0][:n], _powers[0][1][:n]
+
+
+def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
+    """A rolling hash of the ``gram`` bytes from each position on.
+
+    Equal grams have equal hashes.  Different ones can, too (sums of powers modulo 2**64 have such texts),
+    so these only choose where texts meet and never say that they are equal.
+    """
+    c = np.zeros(len(a) + 1, U64)
+    up, down = powers(len(a) + 1)
+    np.cumsum(byte_table()[a] * up[: len(a)], dtype=U64, out=c[1:])
+    return mix((c[gram:] - c[: len(c) - gram]) * down[: len(c) - gram])
 
 
 # ---------------------------------------------------------------- words
@@ -146,6 +183,29 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+# ---------------------------------------------------------------- columns and rows
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def has_odd_ids(df: DataFrame, id_col: str) -> bool:
     """Whether some rows have no id or one that another row has, too."""
-    return not df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+    return not df.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1").isEmpty()
+
+
+def with_rows(df: DataFrame, row: str, *, id_col: str, text_col: str, nulls_last: bool = True) -> tuple[DataFrame, bool]:
+    """``df`` with a long ``row`` that differs in all rows and has the order of the ids, and whether it is the id itself.
+
+    Distinct integers are taken as they are.  Other ids (of another type, absent, or shared by several rows) are
+    sorted once, and the rows are written with their places, so that a row keeps its place if it is computed again.
+    """
+    if isinstance(df.schema[id_col].dataType, ByteType | ShortType | IntegerType | LongType) and not has_odd_ids(df, id_col):
+        return df.withColumn(row, F.col(id_col).cast("long")), True
+    order = F.col(id_col).asc_nulls_last() if nulls_last else F.col(id_col).asc_nulls_first()
+    return materialize(df.orderBy(order, text_col).withColumn(row, F.monotonically_increasing_id()), "rows"), False

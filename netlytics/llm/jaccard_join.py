@@ -15,8 +15,13 @@
    is cut into blocks which share some pivots; documents that then are not connected to the component's
    main part are compared with every block.  No pair is left out.
 
-Links are exact on the hashed sets.  Texts that are null, or have no word, have empty sets and no links;
-texts with fewer words than a shingle are one shingle, the whole sequence.
+Links are exact on sets of 64-bit hashes.  Texts that are null, or have no word, have empty sets and no links;
+texts with fewer words than a shingle are one shingle, the whole sequence.  A text's length has no bound, an empty
+table gives an empty result, and only the id and text columns are looked at.
+
+Every row is a document, in the order of the ids, of whatever type: rows that share an id (repeated rows, too)
+are compared like others and have one line each in the result, rows without one come after all ids.  So a component's
+smallest id is null only if no document in it has one.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded, has_odd_ids, lower_ascii, materialize, mix, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
+from .common import U64, bounded, fresh, lower_ascii, materialize, mix, shuffle_partitions, signed, span_hashes, text_bytes, with_rows, word_bounds
 from .components import connected_components
 
 _HOT, _UNKNOWN = 63, 5  # classes are the binary logarithms of counts; shingles that were not counted rank as if in about 32 documents
@@ -35,7 +40,7 @@ _HOT, _UNKNOWN = 63, 5  # classes are the binary logarithms of counts; shingles
 def word_hashes(raw: bytes) -> np.ndarray:
     a = lower_ascii(np.frombuffer(raw, np.uint8))
     start, end = word_bounds(a)
-    return spans(prefix_hash(a), start, end) if len(start) else np.zeros(0, U64)
+    return span_hashes(a, start, end)
 
 
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
@@ -319,15 +324,25 @@ def _search(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_grou
     return connected_components(first.unionByName(_solve(again, num, den)), "links")
 
 
-def similar_components(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, pivots: int = 16
-) -> DataFrame:
+def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_shingles, component_id): the set size of each document and the smallest id that links of Jaccard >= num/den lead to, its own included."""
     bounded(df)
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    df = df.select(id_col, text_col)
+    row = fresh(df, "row")
+    rows, plain = with_rows(df, row, id_col=id_col, text_col=text_col)
+    found = row_components(rows.select(F.col(row).alias("doc"), F.col(text_col).alias("text")), **options)
+    if plain:
+        kind = df.schema[id_col].dataType
+        return found.select(F.col("doc").cast(kind).alias(id_col), "n_shingles", F.col("component").cast(kind).alias("component_id"))
+    names = rows.select(F.col(row).alias("__row"), F.col(id_col).alias("__id"))
+    own = found.join(names, F.col("doc") == F.col("__row")).select(F.col("__id").alias(id_col), "n_shingles", "component")
+    return own.join(names.withColumnRenamed("__id", "component_id"), F.col("component") == F.col("__row")).select(id_col, "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, pivots: int = 16) -> DataFrame:
+    """(doc, n_shingles, component) of rows (doc, text), where ``doc`` is a long that differs in all rows."""
+    spark, named = docs.sparkSession, docs
     summary = materialize(docs.mapInArrow(_summaries(k, universe), "doc long, n long, f1 long, f2 long, u long"), "summary")
-    named = docs.where("doc IS NOT NULL")
     elements = named.mapInArrow(_elements(k, universe), "h long, doc long")
     dealt = elements.repartitionByRange(shuffle_partitions(spark), "h", "doc").sortWithinPartitions("h", "doc")
     shared = materialize(dealt.mapInArrow(_shared, "doc long, h long, cls int"), "shared")
@@ -352,23 +367,13 @@ def similar_components(
     least = named_classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("linked"))
     classes = named_classes.join(least, "component", "left").select("f1", "f2", F.coalesce("linked", "least").alias("component_id"))
     out = summary.join(classes, ["f1", "f2"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
-
+    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component"))
 
-def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its component.
 
-    Every row is a document of its own: those without an id, and all but one of those with the same id, are
-    compared like the others, and come after all ids.
-    """
-    if not has_odd_ids(df, id_col):
-        found = similar_components(df, id_col=id_col, **options)
-        keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep"))
-        return df.join(keep, F.col(id_col).cast("long") == F.col("__keep"), "left_semi")
-    rows = materialize(df.withColumn("__at", F.monotonically_increasing_id()), "rows")
-    named = F.col(id_col).cast("long")
-    after = (rows.agg(F.max(named)).first()[0] or 0) + 1
-    firsts = rows.where(named.isNotNull()).groupBy(named.alias("__id")).agg(F.min("__at").alias("__at"))
-    rows = rows.join(firsts, "__at", "left").withColumn("__row", F.coalesce("__id", F.lit(after) + F.col("__at")))
-    found = similar_components(rows, id_col="__row", **options).where(F.col("__row") == F.col("component_id")).select("__row")
-    return rows.join(found, "__row", "left_semi").select(*df.columns)
+def keep_one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that come first in their components, in the order of the ids; rows without an id come last."""
+    bounded(df)
+    row = fresh(df, "row")
+    rows, _ = with_rows(df, row, id_col=id_col, text_col=text_col)
+    found = row_components(rows.select(F.col(row).alias("doc"), F.col(text_col).alias("text")), **options)
+    return rows.join(found.where("doc = component").select(F.col("doc").alias(row)), row, "left_semi").select(*df.columns)

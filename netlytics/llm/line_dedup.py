@@ -1,6 +1,6 @@
 """Exact line deduplication over a corpus.
 
-Lines travel as 128-bit hashes with their document and position; the text stays where it is.  The
+Lines travel as 128-bit digests with their document and position; the text stays where it is.  The
 hashes are dealt by *range* of (hash, document), so the rows of a very common line spread over several
 neighbouring tasks, and each task streams its sorted rows once:
 
@@ -11,9 +11,14 @@ neighbouring tasks, and each task streams its sorted rows once:
 
 What returns to a document is a compressed bitmap of the lines to keep.
 
-Null and empty texts are one empty line.  A line's key is the line without ``[\\x20\\x09-\\x0D]`` at
+Null and empty texts are one empty line, an empty table gives an empty result, and a text's length matters to
+nothing but the task that reads it.  A line's key is the line without ``[\\x20\\x09-\\x0D]`` at
 both ends, A-Z lower-cased; keys under ``min_chars`` code points are always kept, and a key's lines
-inside its one kept document all stay.  Document ids must be unique; rows whose id is null keep all lines.
+inside its one kept document all stay.
+
+Every row is a document, in the order of the ids, of whatever type: rows without an id come before all others, and
+rows that share one (repeated rows, too) follow each other in the order of their texts, so that one of them
+is the largest.  Columns of the input that have the name of an added column give way to it; no other name clashes.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import BASES, U64, bounded, lower_ascii, materialize, prefix_hash, shuffle_partitions, signed, spans, text_bytes, word_bounds
+from .common import U64, bounded, digests, fresh, lower_ascii, materialize, shuffle_partitions, signed, text_bytes, with_rows, word_bounds
 
 _STREAMED = "kind int, h1 long, h2 long, doc long, pos int, docs long"
 _DROP, _PENDING, _COUNT = 0, 1, 2
@@ -43,13 +49,11 @@ def line_keys(raw: bytes, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.nd
     chars = np.concatenate(([0], np.cumsum((a & 0xC0) != 0x80)))
     long = chars[hi] - chars[lo] >= min_chars
     pos, lo, hi = pos[long], lo[long], hi[long]
-    if not len(pos):
-        return np.zeros(0, U64), np.zeros(0, U64), pos
-    return spans(prefix_hash(a), lo, hi), spans(prefix_hash(a, 11, BASES[1]), lo, hi, BASES[1]), pos
+    return *digests(a, lo, hi), pos
 
 
-def line_hashes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """(h1, h2, doc, pos) of each line that is long enough."""
+def line_hashes(rows: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(h1, h2, doc, pos) of each line of ``rows`` (doc, text) that is long enough."""
 
     def run(batches):
         for batch in batches:
@@ -60,7 +64,6 @@ def line_hashes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(signed(h1)), pa.array(signed(h2)), pa.array(doc), pa.array(pos.astype(np.int32))], names=["h1", "h2", "doc", "pos"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
     return rows.mapInArrow(run, "h1 long, h2 long, doc long, pos int")
 
 
@@ -126,11 +129,11 @@ def _stream(min_docs: int):
     return run
 
 
-def dropped_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc, pos) of the lines to drop."""
-    bounded(df)
-    spark = df.sparkSession
-    hashes = line_hashes(df, id_col=id_col, text_col=text_col, min_chars=min_chars)
+def dropped_lines(rows: DataFrame, *, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """(doc, pos) of the lines to drop from ``rows`` (doc, text), where ``doc`` is a long that differs in all rows."""
+    bounded(rows)
+    spark = rows.sparkSession
+    hashes = line_hashes(rows, min_chars)
     order = ["h1", "h2", F.col("doc").desc()]
     dealt = hashes.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     streamed = materialize(dealt.mapInArrow(_stream(min_docs), _STREAMED), "lines")
@@ -156,40 +159,43 @@ def kept_lines(bitmap: bytes | None, n_lines: int) -> np.ndarray:
     return keep
 
 
-def keep_bitmaps(df: DataFrame, **options) -> DataFrame:
-    """(doc, bitmap) of the documents that lose lines."""
+def keep_bitmaps(rows: DataFrame, **options) -> DataFrame:
+    """(doc, bitmap) of the documents of ``rows`` (doc, text) that lose lines."""
 
     def pack(batches):
         for batch in batches:
             maps = [pack_bitmap(np.array(x.as_py())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.binary())], names=["doc", "bitmap"])
 
-    return dropped_lines(df, **options).groupBy("doc").agg(F.collect_list("pos").alias("pos")).mapInArrow(pack, "doc long, bitmap binary")
+    return dropped_lines(rows, **options).groupBy("doc").agg(F.collect_list("pos").alias("pos")).mapInArrow(pack, "doc long, bitmap binary")
 
 
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``df`` with the text column reduced to the kept lines, and ``n_lines`` and ``n_dropped`` (long) added."""
+def dedup_lines(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, lines_col: str = "n_lines", dropped_col: str = "n_dropped"
+) -> DataFrame:
+    """``df`` with the text column reduced to the kept lines, and ``lines_col`` and ``dropped_col`` (long) added."""
     bounded(df)
-    maps = keep_bitmaps(df, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs).select(F.col("doc").alias("__doc"), F.col("bitmap").alias("__bitmap"))
-    names = df.columns
-    joined = df.join(maps, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*[df[c] for c in names], "__bitmap")
+    df = df.drop(lines_col, dropped_col)
+    names, row, bitmap = df.columns, fresh(df, "row"), fresh(df, "bitmap")
+    rows, _ = with_rows(df, row, id_col=id_col, text_col=text_col, nulls_last=False)
+    maps = keep_bitmaps(rows.select(F.col(row).alias("doc"), F.col(text_col).alias("text")), min_chars=min_chars, min_docs=min_docs)
+    joined = rows.join(maps.select(F.col("doc").alias(row), F.col("bitmap").alias(bitmap)), row, "left").select(*names, bitmap)
     at = names.index(text_col)
+    added = [lines_col, dropped_col]
 
     def apply(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for value, bitmap in zip(batch.column(at), batch.column(len(names)), strict=True):
+            for value, bits in zip(batch.column(at), batch.column(len(names)), strict=True):
                 text = value.as_py() or ""
                 parts = text.split("\n")
-                keep = kept_lines(bitmap.as_py(), len(parts))
+                keep = kept_lines(bits.as_py(), len(parts))
                 lines.append(len(parts))
                 dropped.append(len(parts) - int(keep.sum()))
                 texts.append(text if keep.all() else "\n".join([p for p, k in zip(parts, keep.tolist(), strict=True) if k]))
             cols = [batch.column(i) for i in range(len(names))]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return joined.mapInArrow(apply, f"{schema}, n_lines long, n_dropped long")
-
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *added])
 
+    fields = [StructField(text_col, StringType()) if f.name == text_col else f for f in df.schema.fields]
+    return joined.mapInArrow(apply, StructType([*fields, *(StructField(c, LongType()) for c in added)]))

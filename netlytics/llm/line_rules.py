@@ -1,11 +1,18 @@
 """Quality rules with line labels from a linear-chain conditional random field.
 
-Lines are content or boilerplate.  The field's weights are learned on lines of labelled documents (a
-line takes its document's label, a weak but unbiased hint), the Viterbi decoding of a text labels its
-lines together, and the share of word characters in content lines decides whether the text is kept.
+Lines are content or boilerplate.  The field's weights are learned on lines of labelled documents: a
+line takes its document's label, a biased hint, since good documents have boilerplate lines and bad ones
+content.  The Viterbi decoding of a text labels its lines together, and the share of word characters in
+content lines decides whether the text is kept.
 
 Words are maximal runs without ``[\\x20\\x09-\\x0D]``.  Null texts have no words; such texts, and all with
-under ``min_words`` words or too many repeated windows, fail the base rules.
+under ``min_words`` words or too many repeated windows, fail the base rules.  Texts of any length are judged whole.
+
+The field is fitted on at most ``max_labelled`` documents, chosen by a hash of their ids, and of each on at most
+``max_blocks`` blocks of ``BLOCK`` lines, evenly spaced.  Ids with several labels are not learned from.
+Without labelled documents of both kinds every line is content, so that the base rules alone decide.
+An empty table gives an empty result.  Every row is judged by itself: ids may be of any type, absent or shared.
+Only the id and text columns are looked at, so no other name clashes.
 """
 
 from __future__ import annotations
@@ -14,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import U64, bounded, mix, prefix_hash, spans, text_bytes, word_bounds
+from .common import U64, bounded, mix, span_hashes, text_bytes, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -23,6 +31,7 @@ _UPPER, _LETTER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _DIGIT[48:58] = True
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _MARK[list(b"!?\"'`;:()[]{}-_/\\+=@~^")] = True
+BLOCK = 64
 FEATURES = ("one", "upper", "symbols", "marks", "digits", "words", "ended", "seen", "long_words")
 
 
@@ -36,7 +45,7 @@ def base_counts(raw: bytes, window: int = 8) -> dict[str, int]:
         chars = np.concatenate(([0], np.cumsum((a & 0xC0) != 0x80)))
         out["word_chars"] = int((chars[end] - chars[start]).sum())
     if n >= window:
-        h = spans(prefix_hash(a), start, end)
+        h = span_hashes(a, start, end)
         s = np.zeros(n - window + 1, U64)
         for i in range(window):
             s += mix(h[i : n - window + 1 + i] + U64(i))
@@ -132,26 +141,42 @@ class LineField:
         return LineField(w, stay)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500) -> LineField:
+def all_content() -> LineField:
+    """The field without anything to learn from: each line is content."""
+    return LineField(np.eye(len(FEATURES))[0], 0.0)
+
+
+def _blocks(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """At most ``most`` evenly spaced blocks of a text's lines."""
+    n = -(-len(x) // BLOCK)
+    return [x[k * BLOCK : (k + 1) * BLOCK] for k in sorted({i * n // min(n, most) for i in range(min(n, most))})]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500, max_blocks: int = 8) -> LineField:
     """A field from at most ``max_labelled`` labelled documents, chosen by a hash of their ids."""
     bounded(docs)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").drop("other")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
+    rows = rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label", F.xxhash64("id").alias("id"))
 
     def features(batches):
         for batch in batches:
-            blobs = [line_features(text_bytes(v))[0].astype(np.float32).tobytes() for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(blobs, pa.binary()), batch.column(1)], names=["id", "x", "label"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("text", "label", "id").mapInArrow(features, f"id {kind}, x binary, label int").toArrow().sort_by("id")
+            blobs, label, ids = [], [], []
+            for value, y, doc in zip(*batch.columns, strict=True):
+                for x in _blocks(line_features(text_bytes(value))[0], max_blocks):
+                    blobs.append(x.astype(np.float32).tobytes())
+                    label.append(y.as_py())
+                    ids.append((doc.as_py(), len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([k for _, k in ids], pa.int32()), pa.array(blobs, pa.binary()), pa.array(label, pa.int32())], names=["id", "k", "x", "label"])
+
+    got = rows.mapInArrow(features, "id long, k int, x binary, label int").toArrow().sort_by([("id", "ascending"), ("k", "ascending")])
     texts = [np.frombuffer(b.as_py(), np.float32).reshape(-1, len(FEATURES)).astype(float) for b in got.column("x")]
     target = got.column("label").to_numpy()
-    some = [i for i, t in enumerate(texts) if len(t)]
-    if len({int(target[i]) for i in some}) < 2:
-        raise ValueError("labelled documents of both kinds are needed")
-    return LineField.fit([texts[i] for i in some], target[some])
+    if len(set(target.tolist())) < 2:
+        return all_content()
+    return LineField.fit(texts, target)
 
 
 def apply_rules(
@@ -177,6 +202,5 @@ def apply_rules(
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(counts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(share, pa.float64()), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], names=[id_col, *counts, "content_share", "base_failed", "kept"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in counts) + ", content_share double, base_failed boolean, kept boolean"
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    added = StructType.fromDDL(", ".join(f"{c} long" for c in counts) + ", content_share double, base_failed boolean, kept boolean")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, StructType([df.schema[id_col], *added]))

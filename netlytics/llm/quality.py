@@ -4,11 +4,15 @@ A text is a bag of passages of ``PASSAGE`` bytes.  Each passage is described by
 characters, and pairs of kinds, occur in it.  An encoder maps passages to vectors; gated attention weighs
 them; the weighted vector is scored.  Only documents are labelled: the attention learns which passages
 matter.  All weights are trained here by gradient descent, on at most ``max_labelled`` labelled
-documents chosen by a hash of their ids; the model (about 40 kB) travels with the scoring function.
+documents chosen by a hash of their ids, and on at most ``max_passages`` evenly spaced passages of each of
+these; the model (about 40 kB) travels with the scoring function.
 
 Every passage of every text is scored, whatever its length.  Null and empty texts are one passage without
 characters.  Labels, ids and all other columns are never inputs of a score.  Without labelled documents of
-both kinds there is nothing to learn, and a ValueError says so.
+both kinds there is nothing to learn: every text then has the share of label 1 among those there are as its score,
+and 0.5 without any.  Ids with several labels are not learned from; of rows that share an id, the smallest text is.
+An empty table gives an empty result, repeated rows get equal scores, ids may be of any type.  Columns of the
+input that have the name of an added column give way to it; no other name clashes.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import bounded, text_bytes
 
@@ -57,6 +62,8 @@ def passage_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class AttentionModel:
     """Encoder, gated attention and classifier, trained with Adam on whole bags."""
 
+    constant: float | None = None  # the score of all texts where there was nothing to learn
+
     def __init__(self, width: int = 24, attention: int = 12, seed: int = 1):
         r = np.random.RandomState(seed)
         w = lambda *s: (r.randn(*s) / np.sqrt(s[0])).astype(np.float64)
@@ -106,6 +113,8 @@ class AttentionModel:
         return self
 
     def scores(self, raws: list[bytes], most_bytes: int = 1 << 21) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(raws), self.constant)
         out, i = [], 0
         while i < len(raws):
             j, size = i, 0
@@ -122,42 +131,47 @@ def held_out(id_col) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, **options) -> AttentionModel:
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, max_passages: int = 64, **options
+) -> AttentionModel:
     """A model from at most ``max_labelled`` documents that are labelled and not held out."""
     bounded(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label"), F.count_distinct("label").alias("k")).where("k = 1").drop("k")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
+    rows = rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label", F.xxhash64("id").alias("id"))
 
     def features(batches):
         for batch in batches:
             blobs, ns = [], []
             for value in batch.column(0):
                 x, n = passage_features([text_bytes(value)])
-                blobs.append(x.astype(np.float16).tobytes())
-                ns.append(int(n[0]))
+                k = min(int(n[0]), max_passages)
+                blobs.append(x[np.arange(k) * int(n[0]) // k].astype(np.float16).tobytes())
+                ns.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(blobs, pa.binary()), pa.array(ns, pa.int32()), batch.column(1)], names=["id", "x", "n", "label"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("text", "label", "id").mapInArrow(features, f"id {kind}, x binary, n int, label int").toArrow().sort_by("id")
+    got = rows.mapInArrow(features, "id long, x binary, n int, label int").toArrow().sort_by("id")
     target = got.column("label").to_numpy().astype(float)
+    model = AttentionModel()
     if len(set(target.tolist())) < 2:
-        raise ValueError("labelled documents of both kinds are needed")
+        model.constant = float(target.mean()) if len(target) else 0.5
+        return model
     x = np.concatenate([np.frombuffer(b.as_py(), np.float16).reshape(-1, N_FEATURES) for b in got.column("x")]).astype(np.float32)
-    return AttentionModel().fit(x, got.column("n").to_numpy().astype(np.int64), target, **options)
+    return model.fit(x, got.column("n").to_numpy().astype(np.int64), target, **options)
 
 
-def score(docs: DataFrame, model: AttentionModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (double) and ``predicted`` (int) added; one narrow pass."""
+def score(docs: DataFrame, model: AttentionModel, *, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with ``score_col`` (double) and ``predicted_col`` (int) added; one narrow pass."""
     bounded(docs)
+    docs = docs.drop(score_col, predicted_col)
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
             y = model.scores([text_bytes(v) for v in batch.column(at)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64()), pa.array((y >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64()), pa.array((y >= 0.5).astype(np.int32))], names=[*names, score_col, predicted_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())]))

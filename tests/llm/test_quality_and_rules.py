@@ -61,9 +61,15 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - grads[name][place]) < 1e-6
 
 
-def test_no_labels(docs, spark):
-    with pytest.raises(ValueError, match="both kinds"):
-        quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+@pytest.mark.parametrize(("labels", "want"), [([], 0.5), ([(2, 1)], 0.5), ([(1, 1)], 1.0), ([(1, 0), (0, 0)], 0.0), ([(1, 0), (1, 1)], 0.5)])
+def test_nothing_to_learn(docs, no_docs, spark, labels, want):
+    """A constant score; lines are all content.  (Document 2 is held out.)"""
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality.score(docs, quality.train(docs, labels)).select("score", "predicted").distinct().collect()
+    assert [(r.score, r.predicted) for r in got] == [(want, int(want >= 0.5))]
+    assert quality.score(no_docs, quality.train(no_docs, labels)).count() == 0
+    field = line_rules.train(docs, labels.limit(1))
+    assert all(r.kept != r.base_failed for r in line_rules.apply_rules(docs, field).collect())
 
 
 def brute_counts(text):
