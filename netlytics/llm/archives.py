@@ -4,11 +4,15 @@ A package holds stored (uncompressed) members: WARC data and a line index with e
 length.  The reader finds the end record (ZIP64 where needed), parses the central directory, locates a
 member's data by its local header, reads the index and then only the byte ranges of records.  Nothing is
 extracted.  It needs no more than ``read(offset, n)`` and a size, so it serves files as well as packages
-kept as rows of chunks in a Parquet table, which any store that Spark knows can hold.
+kept as rows of a Parquet table, which any store that Spark knows can hold.  A row is a whole package, so its
+records are read in the task that scans it, without a shuffle.
 
 Of equal payloads of at least ``min_revisit`` bytes the one with the smallest page id is a response and
-the others revisit it; rows that repeat the smallest id are responses, too.  Null html is an empty payload, null urls
-leave out the target, rows without a page id are written with an empty id and are never revisited.
+the others revisit it; rows that repeat the smallest id are responses, too.  A revisit's digest and length are those that its writer
+measured; the reader can check them only where a record has its payload.  Null html is an empty payload, null urls
+leave out the target, rows without a page id are written with an empty id and are never revisited.  An empty table gives an
+empty result; a page longer than ``archive_bytes`` has a package of its own; ids may be of any type that a string can be cast to; other columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,15 +41,19 @@ DATA, INDEX = "archive/data.warc", "indexes/index.txt"
 # ---------------------------------------------------------------- WARC records
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
+def _urn(page_id: str | None) -> str:
+    return f"<urn:page:{'' if page_id is None else 'id-' + quote(page_id, safe='')}>"
+
+
+def warc_record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str = "2024-01-01T00:00:00Z") -> bytes:
     """A response with its payload, or a revisit with the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}"]
     if url:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._')}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -63,7 +71,7 @@ def parse_record(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     full = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
     digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    page = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
+    page = lambda name: unquote(m[1]) if (m := re.fullmatch(r"<urn:page:id-(.*)>", fields.get(name, ""))) else None
     if fields["warc-type"] == "response" and (len(payload) != full or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload that does not match its length or digest")
     return {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": full, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": page("warc-refers-to"), "payload": payload}
@@ -95,8 +103,8 @@ class PackageWriter:
         self._write(struct.pack("<4sI2Q" if wide else "<4s3I", b"PK\x07\x08", self.crc, size, size))
         self.entries.append((self.name, self.crc, size, self.header))
 
-    def add(self, record: bytes, page_id: int | None, kind: str) -> None:
-        self.index.append(f"{'' if page_id is None else page_id} {self.at - self.data} {len(record)} {kind}\n")
+    def add(self, record: bytes, page_id: str | None, kind: str) -> None:
+        self.index.append(f"{quote(page_id or '', safe='')} {self.at - self.data} {len(record)} {kind}\n")
         self.crc = zlib.crc32(record, self.crc)
         self._write(record)
 
@@ -134,16 +142,15 @@ class FileRange:
         return self.file.read(n)
 
 
-class ChunkRange:
-    """Byte ranges of a package held as equal chunks (the last may be shorter)."""
+class BufferRange:
+    """Byte ranges of a package in memory, without copying it."""
 
-    def __init__(self, chunks: list[bytes]):
-        self.chunks, self.width = chunks, len(chunks[0])
-        self.size = sum(map(len, chunks))
+    def __init__(self, buffer):
+        self.view = memoryview(buffer)
+        self.size = len(self.view)
 
     def read(self, offset: int, n: int) -> bytes:
-        first, last = offset // self.width, (offset + max(n, 1) - 1) // self.width
-        return b"".join(self.chunks[first : last + 1])[offset - first * self.width :][:n]
+        return bytes(self.view[offset : offset + n])
 
 
 class PackageReader:
@@ -207,75 +214,95 @@ class PackageReader:
 
 # ---------------------------------------------------------------- tables of packages
 
-_CHUNKS = "archive string, chunk int, data binary"
+_PACKAGES = "archive string, data binary"
+#: A package is a row of up to ``archive_bytes``: row groups are cut by bytes from the first row on, not after a hundred.
+_ROW_GROUPS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def _originals(rows: DataFrame, min_revisit: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, first) of the payloads that several pages have: those with very many pages, and the others.
 
+    Counts are combined before the shuffle.  At most ``4 * partitions`` payloads can have a share of more than ``1 / (4 * partitions)`` each.
+    """
+    same = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL")
+    same = materialize(same, "originals")
+    total = same.agg(F.sum("c")).first()[0] or 0
+    many = F.col("c") * 4 * shuffle_partitions(rows.sparkSession) > total
+    return same.where(many).select("digest", "first"), same.where(~many).select("digest", "first")
 
-def write_packages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, archive_bytes: int = 16 << 20, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """The pages as packages of about ``archive_bytes``, a table of (archive, chunk, data)."""
+
+def write_packages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, archive_bytes: int = 16 << 20) -> DataFrame:
+    """The pages as packages of about ``archive_bytes``, a table of (archive, data)."""
     bounded(pages)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    # Payload ids travel without payloads; counts are combined before the shuffle, so equal pages are one row for each task.
-    same = rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("digest", "first")
-    linked = rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")).alias("refers_to"))
+    hot, others = _originals(rows, min_revisit)
+    # Pages of a payload that very many share learn its first page without being dealt by it.
+    dealt = rows.join(F.broadcast(hot.withColumnRenamed("first", "known")), "digest", "left")
+    key = F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.concat(F.lit("="), F.xxhash64("page_id", "url").cast("string")))
+    linked = dealt.withColumn("key", key).join(others.withColumnRenamed("digest", "key"), "key", "left")
+    first = F.coalesce("known", "first")
+    linked = linked.select("page_id", "url", "html", "digest", F.when(F.coalesce(F.col("page_id") != first, first.isNotNull()), first).alias("refers_to"))
+    linked = linked.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
 
     def write(batches):
         part, k, out, writer = TaskContext.get().partitionId(), 0, None, None
 
         def package():
-            name, raw = f"{part:06d}-{k:06d}", out.getvalue()
-            for i in range(0, len(raw), chunk_bytes):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i // chunk_bytes], pa.int32()), pa.array([raw[i : i + chunk_bytes]], pa.binary())], names=["archive", "chunk", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{k:06d}"]), pa.array([out.getvalue()], pa.binary())], names=["archive", "data"])
 
         for batch in batches:
             for page_id, url, html, digest, refers_to in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if writer is None:
                     out = io.BytesIO()
                     writer = PackageWriter(out)
-                to = refers_to.as_py()
-                writer.add(warc_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), digest.as_py(), to), page_id.as_py(), "response" if to is None else "revisit")
+                page, to = page_id.as_py(), refers_to.as_py()
+                writer.add(warc_record(page, url.as_py(), (html.as_py() or "").encode(), digest.as_py(), to), page, "response" if to is None else "revisit")
                 if writer.at >= archive_bytes:
                     writer.close()
-                    yield from package()
+                    yield package()
                     k, writer = k + 1, None
         if writer is not None:
             writer.close()
-            yield from package()
+            yield package()
 
-    return linked.mapInArrow(write, _CHUNKS)
+    return linked.mapInArrow(write, _PACKAGES)
 
 
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
-def _batch(records: list[dict], payloads: bool) -> pa.RecordBatch:
-    kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payloads else {})
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in records], t) for k, t in kinds.items()], names=list(kinds))
+def _batches(records: Iterator[dict], payloads: bool, most: int = 1000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The records in batches of a bounded number of rows and bytes."""
+    kinds = {"page_id": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string()} | ({"payload": pa.binary()} if payloads else {})
 
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], t) for k, t in kinds.items()], names=list(kinds))
 
-def read_packages(chunks: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """The records of a table of packages; a task holds one package at a time."""
-    bounded(chunks)
+    held, size = [], 0
+    for record in records:
+        if payloads:
+            size += len(record["payload"])
+        else:
+            del record["payload"]
+        held.append(record)
+        if len(held) >= most or size >= most_bytes:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
-    def records(parts):
-        found = list(PackageReader(ChunkRange(parts)).records())
-        for i in range(0, len(found), 1000):
-            yield _batch(found[i : i + 1000], payloads)
+
+def read_packages(packages: DataFrame, *, payloads: bool = False) -> DataFrame:
+    """The records of a table of packages; a task holds one package at a time."""
+    bounded(packages)
 
     def read(batches):
-        name, parts = None, []
         for batch in batches:
-            for archive, data in zip(batch.column(0), batch.column(1), strict=True):
-                if archive.as_py() != name:
-                    if parts:
-                        yield from records(parts)
-                    name, parts = archive.as_py(), []
-                parts.append(data.as_py())
-        if parts:
-            yield from records(parts)
+            for data in batch.column(0):
+                yield from _batches(PackageReader(BufferRange(data.as_buffer())).records(), payloads)
 
-    dealt = chunks.repartition(shuffle_partitions(chunks.sparkSession), "archive").sortWithinPartitions("archive", "chunk").select("archive", "data")
-    return dealt.mapInArrow(read, _RECORD + (", payload binary" if payloads else ""))
+    return packages.select("data").mapInArrow(read, _RECORD + (", payload binary" if payloads else ""))
 
 
 def read_package_files(paths: DataFrame, *, path_col: str = "path", payloads: bool = False) -> DataFrame:
@@ -285,17 +312,13 @@ def read_package_files(paths: DataFrame, *, path_col: str = "path", payloads: bo
     def read(batches):
         for batch in batches:
             for path in batch.column(0):
-                found: list[dict] = []
-                for record in PackageReader(FileRange(path.as_py())).records():
-                    found.append(record)
-                    if len(found) == 1000:
-                        yield _batch(found, payloads)
-                        found = []
-                yield _batch(found, payloads)
+                yield from _batches(PackageReader(FileRange(path.as_py())).records(), payloads)
 
     return paths.select(path_col).mapInArrow(read, _RECORD + (", payload binary" if payloads else ""))
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
+def round_trip(pages: DataFrame, *, id_col: str = "page_id", **options) -> DataFrame:
     """The pages' records, written as packages to the shared folder and read back."""
-    return read_packages(materialize(write_packages(pages, **options), "packages"))
+    records = read_packages(materialize(write_packages(pages, id_col=id_col, **options), "packages", **_ROW_GROUPS))
+    kind = pages.schema[id_col].dataType
+    return records.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
