@@ -69,7 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup)}
@@ -132,10 +132,10 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM payloads LEFT JOIN firsts USING (payload_digest)""",
     "op9_decontamination": r"""
-WITH doc_words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+WITH doc_words AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents WHERE doc_id IS NOT NULL),
+  FROM documents),
 item_words AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -144,15 +144,15 @@ windows AS (
   SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS words
   FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM item_words WHERE len(w) > 0)),
 places AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS words
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words CROSS JOIN (SELECT DISTINCT n FROM windows))),
-hits AS (SELECT doc_id, item, i, p.n FROM places p JOIN windows USING (n, words)),
-hit_words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id),
+  SELECT row, n, i, array_to_string(w[i : i + n - 1], ' ') AS words
+  FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words CROSS JOIN (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT row, item, i, p.n FROM places p JOIN windows USING (n, words)),
+hit_words AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS place FROM hits) GROUP BY row),
 hit_items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""",
 }

@@ -5,19 +5,20 @@ A byte goes if a string of ``length`` bytes covers it that also starts anywhere
 1. *Meeting places.*  In every window of ``length`` bytes the ``gram``-byte substring with the smallest
    hash (the leftmost one) is the window's anchor.  Equal windows have equal anchors at equal places, so windows only need comparing where
    anchors meet.  Neighbouring windows share anchors: a row stands for a stretch of window starts, with
-   its anchor's hash and the hash of its whole context (first to last byte of its windows).
+   its anchor's hash and the digest of its whole context (first to last byte of its windows).
 2. Rows are dealt by range of (anchor, context, place), so that a very common one spreads, and streamed once.  An anchor met once ends there.
-   Contexts met twice repeat as a whole.  The other contexts of anchors met several times are open.
+   Contexts met twice repeat as a whole: equal texts are one text to the index.  The other contexts of anchors met several times are open.
 3. Documents cut out their open contexts, and one copy of each whole repeat beside them.  Contexts of
-   the same anchor go to the same bucket, and each bucket builds an index over its contexts: a suffix
-   array, from which only the run heads and tails of the Burrows-Wheeler transform are used.  At
-   these sampled run ends the match with the neighbouring suffix is measured; everywhere else it is one
-   shorter than at the position before, so a single stream over the text gives each position's longest
-   match elsewhere.  Starts with ``length`` or more are repeated.
-4. An anchor with more than ``hot`` open contexts is not put into one bucket.  The hashes of its
-   windows are counted instead, dealt by hash with a partial count in each task.
-
-Null texts are empty; matches never cross documents.  Equality in steps 2 and 4 is that of 128-bit hashes.
+   the same anchor go to the same bucket, and each bucket builds a run-length index over its contexts: the
+   runs of the Burrows-Wheeler transform, with the places in the text of each run's first and last row.  All contexts are then streamed
+   against it, backwards and side by side.  A context's match with the rows above and below its own grows by one with each step
+   inside a run, and is measured anew at a run's end, from the sampled places.  Starts with ``length`` or more are repeated.
+4. An anchor with more than ``hot`` open contexts is not put into one bucket.  The digests of its
+   windows are counted instead, dealt by digest with a partial count in each task.
+
+Null texts are empty, an empty table gives an empty result, a text's length has no bound; matches never cross documents.
+Equality in steps 2 and 4 is that of 128-bit digests.  Every row is a document: ids may be of any type, absent or shared, and repeated rows
+are copies of each other.  Only the id and text columns are looked at, so no other name clashes.
 """
 
 from __future__ import annotations
@@ -26,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import BASES, FULL, U64, bounded, materialize, prefix_hash, shuffle_partitions, spans, text_bytes
-
-_SEEDS = (7, 11)
+from .common import FULL, U64, bounded, digests, fresh, gram_hashes, materialize, shuffle_partitions, text_bytes, with_rows
 
 
 def slide_min(g: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,19 +50,14 @@ def slide_min(g: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(raw: bytes, length: int, gram: int):
-    """(anchor, context hash, its second half, first start, end of starts) of each stretch of windows with one anchor."""
+    """(anchor, two halves of the context's digest, first start, end of starts) of each stretch of windows with one anchor."""
     a = np.frombuffer(raw, np.uint8)
     if len(a) < length:
         return None
-    c = prefix_hash(a)
-    at = np.arange(len(a) - gram + 1)
-    least, place = slide_min(spans(c, at, at + gram), length - gram + 1)
+    least, place = slide_min(gram_hashes(a, gram), length - gram + 1)
     lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     hi = np.concatenate((lo[1:], [len(least)]))
-    ends = hi - 1 + length
-    second = prefix_hash(a, _SEEDS[1], BASES[1])
-    size = (hi - lo).astype(U64)
-    return least[lo], spans(c, lo, ends) + size, spans(second, lo, ends, BASES[1]), lo, hi
+    return least[lo], *digests(raw, lo, hi - 1 + length), lo, hi
 
 
 def _stretches(length: int, gram: int):
@@ -79,23 +74,24 @@ def _stretches(length: int, gram: int):
     return run
 
 
-_WHOLE, _OPEN, _EDGE = 0, 1, 2
+_WHOLE, _OPEN, _EDGE, _HOT = 0, 1, 2, 3
 _MET = "kind int, h long, c1 long, c2 long, doc long, lo int, n int, copies int"
 
 
-def _meet(batches):
+def _meet(hot: int):
     """From rows sorted by (h, c1, c2): whole repeats and open contexts of anchors that meet.
 
     The first copy of a whole repeat is marked as open, too, if its anchor has open contexts: it is the
-    text that these may match.  A task's first and last anchor, and anchors with too many rows to
+    text that these may match.  Anchors with more than ``hot`` open contexts are marked so.  A task's first and last anchor, and anchors with too many rows to
     hold, may go on in other tasks: one row for each of their contexts leaves as an edge, with the number of
     its copies here, to be decided by the sum over all tasks.
     """
 
     def out(kind, c, copies=None):
         n = len(c[0])
+        kinds = np.full(n, kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32)
         last = np.ones(n, np.int32) if copies is None else copies.astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *map(pa.array, c), pa.array(last)], names=["kind", "h", "c1", "c2", "doc", "lo", "n", "copies"])
+        return pa.RecordBatch.from_arrays([pa.array(kinds), *map(pa.array, c), pa.array(last)], names=["kind", "h", "c1", "c2", "doc", "lo", "n", "copies"])
 
     def edge(c):
         new = np.ones(len(c[0]), bool)
@@ -107,55 +103,63 @@ def _meet(batches):
             yield out(_WHOLE, [x[whole] for x in c])
         yield out(_EDGE, [x[new] for x in c], copies)
 
-    held, first, same = None, True, None
-    for batch in batches:
-        c = [x.to_numpy() for x in batch.columns[:6]]
-        if not len(c[0]):
-            continue
-        if same is not None:
-            k = int(np.searchsorted(c[0], same, side="right"))
-            if k:
-                yield from edge([x[:k] for x in c])
-            if k == len(c[0]):
+    def run(batches):
+        held, first, same = None, True, None
+        for batch in batches:
+            c = [x.to_numpy() for x in batch.columns[:6]]
+            if not len(c[0]):
                 continue
-            c, same = [x[k:] for x in c], None
+            if same is not None:
+                k = int(np.searchsorted(c[0], same, side="right"))
+                if k:
+                    yield from edge([x[:k] for x in c])
+                if k == len(c[0]):
+                    continue
+                c, same = [x[k:] for x in c], None
+            if held is not None:
+                c = [np.concatenate(x) for x in zip(held, c, strict=True)]
+            cut = int(np.searchsorted(c[0], c[0][-1]))
+            if cut:
+                w = [x[:cut] for x in c]
+                if first:
+                    k = int(np.searchsorted(w[0], w[0][0], side="right"))
+                    yield from edge([x[:k] for x in w])
+                    w, first = [x[k:] for x in w], False
+                if len(w[0]):
+                    new_h = np.concatenate(([True], w[0][1:] != w[0][:-1]))
+                    new_c = new_h | np.concatenate(([True], (w[1][1:] != w[1][:-1]) | (w[2][1:] != w[2][:-1])))
+                    of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
+                    whole = np.bincount(of_c)[of_c] > 1
+                    if whole.any():
+                        yield out(_WHOLE, [x[whole] for x in w])
+                    some_open = np.bincount(of_h, weights=~whole)[of_h] > 0
+                    show = (np.bincount(of_h)[of_h] > 1) & some_open & (~whole | new_c)
+                    if show.any():
+                        many = np.bincount(of_h, weights=show)[of_h] > hot
+                        yield out(np.where(many, _HOT, _OPEN)[show], [x[show] for x in w])
+            held = [x[cut:] for x in c]
+            if len(held[0]) > 100_000:
+                yield from edge(held)
+                same, held, first = held[0][0], None, False
         if held is not None:
-            c = [np.concatenate(x) for x in zip(held, c, strict=True)]
-        cut = int(np.searchsorted(c[0], c[0][-1]))
-        if cut:
-            w = [x[:cut] for x in c]
-            if first:
-                k = int(np.searchsorted(w[0], w[0][0], side="right"))
-                yield from edge([x[:k] for x in w])
-                w, first = [x[k:] for x in w], False
-            if len(w[0]):
-                new_h = np.concatenate(([True], w[0][1:] != w[0][:-1]))
-                new_c = new_h | np.concatenate(([True], (w[1][1:] != w[1][:-1]) | (w[2][1:] != w[2][:-1])))
-                of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-                whole = np.bincount(of_c)[of_c] > 1
-                if whole.any():
-                    yield out(_WHOLE, [x[whole] for x in w])
-                some_open = np.bincount(of_h, weights=~whole)[of_h] > 0
-                show = (np.bincount(of_h)[of_h] > 1) & some_open & (~whole | new_c)
-                if show.any():
-                    yield out(_OPEN, [x[show] for x in w])
-        held = [x[cut:] for x in c]
-        if len(held[0]) > 100_000:
             yield from edge(held)
-            same, held, first = held[0][0], None, False
-    if held is not None:
-        yield from edge(held)
 
+    return run
+
+
+def _edges(met: DataFrame, hot: int) -> DataFrame:
+    """The edge rows of ``_meet`` decided by counts over all tasks, in the same form.
 
-def _edges(met: DataFrame) -> DataFrame:
-    """The edge rows of ``_meet`` decided by counts over all tasks, in the same form."""
+    ``totals`` has two anchors for each task and those with over 100,000 rows in a task: in proportion to the tasks.
+    """
     rows = met.where(F.col("kind") == _EDGE)
     names = ["h", "c1", "c2", "doc", "lo", "n"]
     contexts = rows.groupBy("h", "c1", "c2").agg(F.sum("copies").alias("met"), F.min(F.struct("doc", "lo")).alias("one"))
-    totals = contexts.groupBy("h").agg(F.sum("met").alias("all"), F.sum((F.col("met") == 1).cast("long")).alias("single"))
-    known = rows.select(*names).join(contexts, ["h", "c1", "c2"]).join(totals, "h").where("all > 1")
+    totals = contexts.groupBy("h").agg(F.sum("met").alias("all"), F.sum((F.col("met") == 1).cast("long")).alias("single"), F.count("*").alias("shown"))
+    known = rows.select(*names).join(contexts, ["h", "c1", "c2"]).join(F.broadcast(totals), "h").where("all > 1")
     whole = known.where("met > 1").select(F.lit(_WHOLE).alias("kind"), *names)
-    shown = known.where((F.col("single") > 0) & (F.struct("doc", "lo") == F.col("one"))).select(F.lit(_OPEN).alias("kind"), *names)
+    kind = F.when(F.col("shown") > hot, F.lit(_HOT)).otherwise(F.lit(_OPEN))
+    shown = known.where((F.col("single") > 0) & (F.struct("doc", "lo") == F.col("one"))).select(kind.alias("kind"), *names)
     return whole.unionByName(shown)
 
 
@@ -163,7 +167,11 @@ def _edges(met: DataFrame) -> DataFrame:
 
 
 class RunLengthIndex:
-    """Longest matches elsewhere in a collection of byte strings, from the run ends of its Burrows-Wheeler transform."""
+    """The run-compressed Burrows-Wheeler transform of byte strings, with the text places of all run ends.
+
+    Kept are, for each run: its symbol, its first row, the row that its first row maps to, the places in the text of its first and last row, and the
+    nearest runs of the same symbol on both sides.  The suffix array that they are made from is not kept.
+    """
 
     def __init__(self, texts: list[bytes]):
         size = np.array([len(t) for t in texts])
@@ -176,29 +184,49 @@ class RunLengthIndex:
         inside[self.ends - 1] = False
         self.symbols[inside] = flat.astype(np.int16) + 1
         self.left = np.repeat(self.ends - 1, size + 1) - np.arange(n)  # bytes up to the separator
-        self.order = self._sort(int(size.max()) + 1)
-
-    def _sort(self, depth: int) -> np.ndarray:
-        """The suffix array by prefix doubling, to the depth at which every suffix has met its separator; ties by position."""
+        self._compress(self._sort())
+
+    def _compress(self, order: np.ndarray) -> None:
+        n = len(order)
+        before = self.symbols[order - 1]  # the transform; the first text's start wraps around to a separator
+        new = np.ones(n, bool)
+        new[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # separators are all different
+        self.head = np.flatnonzero(new)
+        tail = np.concatenate((self.head[1:], [n])) - 1
+        self.symbol, length = before[self.head], tail - self.head + 1
+        self.at_head, self.at_tail = order[self.head], order[tail]
+        runs = np.argsort(self.symbol, kind="stable")
+        by_symbol = self.symbol[runs]
+        self.maps_to = np.empty(len(runs), np.int64)
+        self.maps_to[runs] = np.cumsum(length[runs]) - length[runs]
+        self.above, self.below = np.full(len(runs), -1), np.full(len(runs), -1)  # runs of the same symbol
+        twin = (by_symbol[1:] == by_symbol[:-1]) & (by_symbol[1:] > 0)
+        self.above[runs[1:][twin]], self.below[runs[:-1][twin]] = runs[:-1][twin], runs[1:][twin]
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.last_row = row[self.ends - 1]  # of each text's separator
+
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.head, row, side="right") - 1
+
+    def _sort(self) -> np.ndarray:
+        """The suffix array by prefix doubling.  A suffix ends at its separator; separators are in the order of their places."""
         n = len(self.symbols)
-        rank = self.symbols.astype(np.int64)
-        packed, h = np.zeros(n, np.int64), 0
-        for i in range(6):  # six symbols at once, to begin with
-            packed = packed * 257
-            packed[: max(0, n - i)] += rank[i:]
-        h = 6
+        packed, h = np.zeros(n, np.int64), 6
+        for i in range(h):  # six symbols at once, to begin with
+            packed *= 257
+            packed[: max(0, n - i)] += np.where(self.left[: max(0, n - i)] >= i, self.symbols[i:], 0)
         order = np.argsort(packed, kind="stable")
         key = packed[order]
         while True:
-            new = np.concatenate(([True], key[1:] != key[:-1]))
+            new = np.concatenate(([True], key[1:] != key[:-1])) | (self.left[order] < h)
+            if new.all():
+                return order
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(new) - 1
-            if h >= depth or new.all():
-                return order
-            tied = ~(new & np.concatenate((new[1:], [True])))  # suffixes whose place is still open
+            tied = ~(new & np.concatenate((new[1:], [True])))  # suffixes whose place is still open: none has met its separator
             at = order[tied]
-            follow = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-            sub = (rank[at] << 32) | follow
+            sub = (rank[at] << 32) | rank[at + h]
             place = np.argsort(sub, kind="stable")
             at, sub = at[place], sub[place]
             order[tied] = at
@@ -209,21 +237,35 @@ class RunLengthIndex:
     def longest_elsewhere(self) -> np.ndarray:
         """For each position the length of its longest match with another one, within the strings.
 
-        A suffix's match with its neighbour in the suffix array needs measuring only where the
-        transform's symbol differs from the neighbour's, i.e. at run heads and tails; elsewhere the
-        neighbour is the same text one further on, and the match one shorter.
+        The matching statistics of all strings, streamed backwards and side by side.  A string's row goes from the row of its
+        separator through the transform.  The rows above and below it go with it while they are in the same run, and
+        match one byte more.  At a run's end the next run of the same symbol has the new neighbour: its sampled place
+        says where in the text to measure the match.
         """
-        order, n = self.order, len(self.order)
-        before = self.symbols[order - 1]  # the transform; position 0 wraps around to a separator
-        change = before[1:] != before[:-1]
-        change |= (before[1:] == 0) | (self.left[order[1:]] == 0)  # separators are all different
-        best = np.zeros(n, np.int64)
-        for here, there in ((order[1:], order[:-1]), (order[:-1], order[1:])):
-            sampled = np.zeros(n, np.int64)  # position + length at the sampled run ends
-            at = here[change]
-            sampled[at] = at + self._match(at, there[change])
-            best = np.maximum(best, np.maximum.accumulate(sampled) - np.arange(n))
-        return np.minimum(best, self.left)
+        best = np.zeros(len(self.symbols), np.int64)
+        at, row = self.ends - 1, self.last_row
+        up, down = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        while True:
+            run = self.run_of(row)
+            go = self.symbol[run] > 0
+            if not go.all():
+                at, row, run, up, down = at[go], row[go], run[go], up[go], down[go]
+            if not len(at):
+                return np.minimum(best, self.left)
+            at = at - 1
+            inside = row > self.head[run]
+            up = self._neighbour(at, np.where(inside, up + 1, 0), ~inside, self.above[run], self.at_tail)
+            inside = row < np.append(self.head[1:], len(self.symbols))[run] - 1
+            down = self._neighbour(at, np.where(inside, down + 1, 0), ~inside, self.below[run], self.at_head)
+            row = self.maps_to[run] + row - self.head[run]
+            best[at] = np.maximum(up, down)
+
+    def _neighbour(self, at, match, ends, other, sample):
+        """The match with the neighbouring row: where a run ends, it is measured from the sample of the next run of the symbol, if there is one."""
+        new = np.flatnonzero(ends & (other >= 0))
+        if len(new):
+            match[new] = self._match(at[new], sample[other[new]] - 1)
+        return match
 
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of pairs of suffixes, up to their separators."""
@@ -310,30 +352,25 @@ def _window_hashes(length: int):
         for batch in batches:
             parts = [(np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for doc, lo, n, c in zip(*(batch.column(x).to_pylist() for x in ("doc", "lo", "n", "context")), strict=True):
-                a, at = np.frombuffer(c, np.uint8), np.arange(n)
-                one = spans(prefix_hash(a), at, at + length)
-                two = spans(prefix_hash(a, _SEEDS[1], BASES[1]), at, at + length, BASES[1])
-                parts.append((one, two, np.full(n, doc, np.int64), at + lo))
+                at = np.arange(n)
+                parts.append((*digests(c, at, at + length), np.full(n, doc, np.int64), at + lo))
             w1, w2, doc, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(doc), pa.array(lo.astype(np.int32))], names=["w1", "w2", "doc", "lo"])
 
     return run
 
 
-def repeated_stretches(df: DataFrame, *, id_col: str, text_col: str, length: int, gram: int, hot: int, bucket_bytes: int) -> DataFrame:
-    """(doc, lo, n): stretches of starts of repeated strings of ``length`` bytes."""
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
+def repeated_stretches(docs: DataFrame, *, length: int, gram: int, hot: int, bucket_bytes: int) -> DataFrame:
+    """(doc, lo, n): stretches of starts of repeated strings of ``length`` bytes in rows (doc, text), where ``doc`` is a long that differs in all rows."""
+    spark = docs.sparkSession
     order = ["h", "c1", "c2", "doc", "lo"]
     rows = docs.mapInArrow(_stretches(length, gram), "h long, c1 long, c2 long, doc long, lo int, n int")
-    met = materialize(rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_meet, _MET), "met")
-    met = met.where(F.col("kind") != _EDGE).drop("copies").unionByName(_edges(met))
+    met = materialize(rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_meet(hot), _MET), "met")
+    met = met.where(F.col("kind") != _EDGE).drop("copies").unionByName(_edges(met, hot))
     whole = met.where(F.col("kind") == _WHOLE).select("doc", "lo", "n")
 
-    shown = met.where(F.col("kind") == _OPEN)
-    many = shown.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("h", F.lit(True).alias("hot"))
-    item = F.struct("h", "lo", "n", F.lit(length - 1).alias("more"), F.coalesce("hot", F.lit(False)).alias("hot"))
-    by_doc = shown.join(many, "h", "left").groupBy("doc").agg(F.collect_list(item).alias("items"))
+    item = F.struct("h", "lo", "n", F.lit(length - 1).alias("more"), (F.col("kind") == _HOT).alias("hot"))
+    by_doc = met.where(F.col("kind").isin(_OPEN, _HOT)).groupBy("doc").agg(F.collect_list(item).alias("items"))
     names = "h doc lo n hot context"
     contexts = docs.join(by_doc, "doc").select("doc", "text", "items").mapInArrow(_cut(names), "h long, doc long, lo int, n int, hot boolean, context binary")
     contexts = materialize(contexts, "contexts")
@@ -364,10 +401,13 @@ def remove_repeats(
     """(id, n_bytes, n_removed, n_spans, spans, kept): what is left of each text's UTF-8 bytes, and the removed runs."""
     bounded(df)
     gram = gram or max(1, length // 2)
-    options = {"id_col": id_col, "text_col": text_col, "length": length, "gram": gram, "hot": hot, "bucket_bytes": bucket_bytes}
-    stretches = repeated_stretches(df, **options).groupBy("doc").agg(F.collect_list("lo").alias("__lo"), F.collect_list("n").alias("__n")).withColumnRenamed("doc", "__doc")
-    source = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    joined = source.join(stretches, F.col("__id").cast("long") == F.col("__doc"), "left").select("__id", "__text", "__lo", "__n")
+    df = df.select(id_col, text_col)
+    row = fresh(df, "row")
+    rows, _ = with_rows(df, row, id_col=id_col, text_col=text_col)
+    docs = rows.select(F.col(row).alias("doc"), F.col(text_col).alias("text"))
+    stretches = repeated_stretches(docs, length=length, gram=gram, hot=hot, bucket_bytes=bucket_bytes)
+    stretches = stretches.groupBy("doc").agg(F.collect_list("lo").alias("__lo"), F.collect_list("n").alias("__n")).withColumnRenamed("doc", row)
+    joined = rows.join(stretches, row, "left").select(id_col, text_col, "__lo", "__n")
 
     def apply(batches):
         for batch in batches:
@@ -386,7 +426,5 @@ def remove_repeats(
                 names=[id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"],
             )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(apply, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
-
-
+    added = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
+    return joined.mapInArrow(apply, StructType([df.schema[id_col], *added]))
