@@ -4,32 +4,34 @@ For byte-pair encoding the last token of the encoding of every prefix of a word
 vocabulary entries that end there, exactly one forms, with the last token of the prefix before it, a
 pair that the merges leave alone.  One pass over a word therefore yields the exact token count of
 *every* prefix.  A text is cut into words by the tokenizer's own pattern; the counts at the word ends
-are summed.  ``PrefixIndex`` keeps those sums, so that truncation and budget questions are answered by
-a binary search, without encoding anything again.
+are summed.  ``PrefixIndex`` stores the exact count of every prefix of a text, so that truncation and budget
+questions are look-ups, without encoding anything again.
 
 Nulls count as the empty text (0 tokens), repeated rows are counted like any others, an empty table
-gives an empty result, and columns other than the two named are not looked at.
+gives an empty result, texts of any length are counted whole, ids may be of any type, and columns other than the two named are not looked at.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import bounded
 
 #: The byte-level tokenizers' word pattern (a fixed public value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
-_CACHED_WORD, _CACHED_WORDS = 48, 500_000
+_SPACES = regex.compile(r"\s+")
+_CACHED_WORD, _CACHED_WORDS, _CACHED_GRIDS = 48, 500_000, 100_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -63,6 +65,7 @@ class PrefixTokenizer:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.grown: dict[bytes, tuple[list, list] | None] = {}
         self.words: dict[str, int] = {}
+        self.grids: dict[str, list[int]] = {}
 
     def merge(self, word: bytes) -> list[tuple]:
         """Plain BPE of a short string: the trees (bytes, left, right, highest rank inside) that no merge joins any more."""
@@ -171,50 +174,80 @@ class PrefixTokenizer:
                     total += count_word(word) if n is None else n
         return total
 
-    def index(self, text: str) -> PrefixIndex:
-        return PrefixIndex(self, text)
+    def char_counts(self, word: str) -> list[int]:
+        """Token counts of the prefixes of a word by characters."""
+        known = self.grids.get(word)
+        if known is None:
+            raw = word.encode()
+            known = self.prefixes(raw)
+            if len(raw) > len(word):
+                known = [0, *(known[i] for i in accumulate(len(c.encode()) for c in word))]
+            if len(word) <= _CACHED_WORD:
+                if len(self.grids) >= _CACHED_GRIDS:
+                    self.grids.clear()
+                self.grids[word] = known
+        return known
+
+    def index(self, text: str, upto: int | None = None) -> PrefixIndex:
+        return PrefixIndex(self, text, upto)
 
 
 class PrefixIndex:
-    """Word ends of a text with the token counts up to them."""
+    """The exact token count of every prefix of a text: ``counts[c]`` is that of ``text[:c]``.
+
+    A word's prefixes have the counts of its dynamic program, added to those of the words before it.  In three places a cut
+    changes the words themselves, and they get programs of their own: a run of white space (it is one word at the end of a
+    text, but gives its last character to what follows), a contraction, and the string of an added token.
+
+    With ``upto`` the counts end where no longer prefix can have so few tokens.
+    """
 
-    def __init__(self, tokenizer: PrefixTokenizer, text: str):
-        self.tokenizer, self.text = tokenizer, text
-        self.starts: list[int] = []
-        counts: list[int] = []
+    def __init__(self, tokenizer: PrefixTokenizer, text: str, upto: int | None = None):
+        self.text, self.whole = text, True
+        counts, done = [0], 0
         for start, end, special in tokenizer.segments(text):
             if special:
-                self.starts.append(start)
-                counts.append(1)
-            else:
-                for m in tokenizer.pattern.finditer(text, start, end) if end == len(text) else tokenizer.pattern.finditer(text[start:end]):
-                    self.starts.append(m.start() + (0 if end == len(text) else start))
-                    counts.append(tokenizer.count_word(m.group()))
-        self.before = [0, *accumulate(counts)]
+                at, before = last[0] if start else (0, 0)
+                counts += [before + tokenizer.count(text[at:c]) for c in range(start + 1, end)]
+                done += 1
+                counts.append(done)
+                last = [(end, done)] * 2
+                continue
+            last, gap_end = [(start, done)] * 2, start  # where the last two words begin, with the tokens before them
+            for m in tokenizer.pattern.finditer(text[start:end]):
+                a, word = m.start() + start, m.group()
+                if _SPACES.match(word[-1]):
+                    if a >= gap_end:
+                        gap = _SPACES.match(text, a, end).group()
+                        gap_end = a + len(gap)
+                        counts += [done + n for n in tokenizer.char_counts(gap)[1:]]
+                    done_now = tokenizer.count_word(word)
+                else:
+                    grid = tokenizer.char_counts(word)
+                    if len(word) == 3 and word[0] == "'" and word[2].isalpha():
+                        grid = [0, grid[1], grid[1] + tokenizer.count_word(word[1]), grid[3]]
+                    counts += [done + n for n in grid[len(counts) - a :]]
+                    done_now = grid[-1]
+                last = [last[1], (a, done)]
+                done += done_now
+                if upto is not None and last[0][1] > upto:
+                    self.whole = False
+                    break
+            if not self.whole:
+                break
+        self.counts = np.array(counts, np.int32)
 
     def total(self) -> int:
-        return self.before[-1]
+        """Tokens of the whole text (of an index without ``upto``)."""
+        return int(self.counts[-1])
 
     def count(self, chars: int) -> int:
-        """Exact token count of text[:chars]: stored sums up to the word before the one that is cut, and those two words anew.
-
-        A cut can change the word it falls into and, where white space gives its last character to the
-        word that follows, the word before; no earlier one.
-        """
-        if chars <= 0 or not self.starts:
-            return 0
-        if chars >= len(self.text):
-            return self.total()
-        k = max(0, bisect_right(self.starts, chars - 1) - 2)
-        return self.before[k] + self.tokenizer.count(self.text[self.starts[k] : chars])
+        """Token count of text[:chars]."""
+        return int(self.counts[min(max(chars, 0), len(self.text))])
 
     def fit(self, budget: int) -> int:
-        """The most characters that a prefix of at most ``budget`` tokens can have, by words and then within the word that is cut."""
-        k = bisect_right(self.before, budget) - 1
-        if k >= len(self.starts):
-            return len(self.text)
-        ends = [*self.starts, len(self.text)]
-        return max((c for c in range(ends[k], min(ends[k + 1], len(self.text)) + 1) if self.count(c) <= budget), default=ends[k])
+        """The most characters that a prefix of at most ``budget`` tokens can have."""
+        return int(np.flatnonzero(self.counts <= budget)[-1])
 
 
 _loaded: dict[str, PrefixTokenizer] = {}
@@ -228,25 +261,30 @@ def load(path: str) -> PrefixTokenizer:
 
 
 def token_counts(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every whole text, one narrow pass without a shuffle."""
+    """(id, n_bytes, n_tokens, over_limit, fit_chars) of every whole text, one narrow pass without a shuffle.
+
+    ``fit_chars``: the characters of the longest prefix of at most ``limit`` tokens, from the stored prefix counts.
+    """
     bounded(df)
 
     def run(batches):
         tokenizer = load(path)
         for batch in batches:
             texts = batch.column(1)
-            n_bytes, n_tokens = [], []
+            n_bytes, n_tokens, fits = [], [], []
             for value in texts:
                 text = value.as_py() or ""
+                n = tokenizer.count(text)
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(tokenizer.count(text))
+                n_tokens.append(n)
+                fits.append(len(text) if n <= limit else tokenizer.index(text, limit).fit(limit))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())],
+                names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    added = StructType.fromDDL("n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, StructType([df.schema[id_col], *added]))
 
 
 def truncate_to_budget(df: DataFrame, path: str, budget: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,11 +296,11 @@ def truncate_to_budget(df: DataFrame, path: str, budget: int, *, id_col: str = "
         for batch in batches:
             texts, counts = [], []
             for value in batch.column(1):
-                index = tokenizer.index(value.as_py() or "")
+                index = tokenizer.index(value.as_py() or "", budget)
                 cut = index.fit(budget)
                 texts.append(index.text[:cut])
                 counts.append(index.count(cut))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[id_col, text_col, "n_tokens"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, n_tokens long")
+    added = StructType([StructField(text_col, StringType()), StructField("n_tokens", LongType())])
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, StructType([df.schema[id_col], *added]))

@@ -26,6 +26,7 @@ def test_counts_equal_the_library(docs, texts, library):
     for i, t in enumerate(texts):
         n = len(ids(library, t))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 50)
+        assert got[i].fit_chars == max(c for c in range(min(len(t or ""), 400) + 1) if len(ids(library, (t or "")[:c])) <= 50) or len(t) > 400
 
 
 def test_every_prefix(library):
@@ -33,13 +34,22 @@ def test_every_prefix(library):
     r = random.Random(5)
     samples = ["Hello  world's  \n\n it'll <|endoftext|>go!! 1234", "   leading", "<|endoftext|", "été ß漢字 🙂🙂", "a\t\n b"]
     samples += ["".join(r.choice(" ab'slE.\n1é<|>") for _ in range(60)) for _ in range(20)]
+    samples += ["".join(r.choice(["'ll", "'re", "'", "\n", " ", "  ", "\u3000", "x", "!", "<|endoftext|>", "9", "\x1f"]) for _ in range(25)) for _ in range(30)]
     for text in samples:
         index = tokenizer.index(text)
+        for budget in (0, 1, 5, 17):
+            assert tokenizer.index(text, budget).fit(budget) == index.fit(budget) == max(c for c in range(len(text) + 1) if index.count(c) <= budget)
         assert index.total() == len(ids(library, text))
         for cut in range(len(text) + 1):
             assert index.count(cut) == len(ids(library, text[:cut])), (text, cut)
 
 
+def test_a_very_long_word():
+    """One pass, whatever the length."""
+    index = token_counts.load(tokenizer_path()).index("a" * 300_000)
+    assert len(index.counts) == 300_001 and index.count(index.fit(1000)) <= 1000 < index.count(index.fit(1000) + 1)
+
+
 def test_truncation(spark, library):
     df = spark.createDataFrame([(1, "some words and some more words " * 20), (2, None), (3, "short")], "doc_id long, text string")
     got = {r.doc_id: r for r in token_counts.truncate_to_budget(df, tokenizer_path(), 10).collect()}
