@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph, edge_frame, node_frame
+from .graph import Graph, durable, edge_frame, node_frame
 from .streaming.edges import transitions
 
 
@@ -14,9 +14,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
-    """Parts bought together in at least two orders; an edge from the smaller to the larger key."""
+    """Parts bought together in at least two orders; an edge from the smaller to the larger key.
+
+    The pairs are written once: nodes, edges and every further use read that small table, not the self-join.
+    """
     line = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     pairs = line.toDF("o", "s").join(line.toDF("o", "t"), "o").where("s < t").groupBy("s", "t").agg(F.count("*").cast("double").alias("weight")).where("weight >= 2")
+    pairs = durable(pairs)
     edges = pairs.select((F.col("s") * F.lit(1 << 31) + F.col("t")).alias("seq"), F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"), "weight")
     ends = pairs.select(F.explode(F.array("s", "t")).alias("p_partkey")).distinct()
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
@@ -35,5 +39,14 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(node_frame(nodes), edge_frame(edges))
 
 
+def membership(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations and their regions, a star around each region."""
+    nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
+    nodes = nation.select(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("label"))
+    nodes = nodes.unionByName(region.select(F.concat(F.lit("R"), "r_regionkey").alias("id"), (F.col("r_regionkey") + 1000).cast("long").alias("seq"), F.col("r_name").alias("label")))
+    edges = nation.select(F.col("n_nationkey").cast("long").alias("seq"), F.concat(F.lit("N"), "n_nationkey").alias("source"), F.concat(F.lit("R"), "n_regionkey").alias("target"))
+    return Graph(node_frame(nodes), edge_frame(edges))
+
+
 def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions(_read(spark, sf_dir, "events"))

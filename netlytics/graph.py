@@ -22,20 +22,38 @@ class GraphError(ValueError):
     """A request the graph cannot fulfil (unknown node, existing id, wrong type, ...)."""
 
 
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise GraphError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="netlytics-checkpoints-")  # tests on one machine
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+        context.setCheckpointDir(path)
+    return f"{context.getCheckpointDir()}/netlytics/{context.applicationId}"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder all executors share (``spark.checkpoint.dir``)."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of :func:`durable` of this application: graphs that were made from them cannot be read any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the folder all executors share (``spark.checkpoint.dir``) and read back.
+    """``df`` written as a table to the folder all executors share (``spark.checkpoint.dir``) and read back; :func:`clean` deletes all of them.
 
     Not ``checkpoint()``: that keeps what the optimizer has inferred about the columns, which over the
     rounds of a loop doubles each time.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:  # tests on one machine
-            path = tempfile.mkdtemp(prefix="netlytics-checkpoints-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-        context.setCheckpointDir(path)
-    path = f"{context.getCheckpointDir()}/netlytics/{context.applicationId}/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

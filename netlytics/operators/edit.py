@@ -65,9 +65,9 @@ def add_nodes(graph: Graph, nodes: list[dict]) -> tuple[Graph, dict]:
     batch = _batch(graph, [(n.get("id"), n.get("label", n.get("id"))) for n in nodes], "id string, label string")
     out, rows = add_nodes_frame(graph, batch)
     added = rows.count()
-    for n in nodes:
-        if n.get("attributes") and n.get("id") is not None:
-            out = set_attributes(out, [{"id": n["id"], "attributes": n["attributes"]}])[0]
+    updates = [{"id": n["id"], "attributes": n["attributes"]} for n in nodes if n.get("attributes") and n.get("id") is not None]
+    if updates:
+        out = set_attributes(out, updates)[0]
     return out, {"added": added, "skipped": len(nodes) - added}
 
 

@@ -37,7 +37,7 @@ def remove_isolates(graph: Graph) -> Graph:
 def ego_ids(graph: Graph, node_id: str, depth: int = 1) -> DataFrame:
     """Ids within ``depth`` steps of a node, whichever way edges point."""
     need_node(graph, node_id)
-    both = graph.edges.select(F.col("source").alias("s"), F.col("target").alias("t")).unionByName(graph.edges.select(F.col("target").alias("s"), F.col("source").alias("t")))
+    both = durable(graph.edges.select(F.col("source").alias("s"), F.col("target").alias("t")).unionByName(graph.edges.select(F.col("target").alias("s"), F.col("source").alias("t"))))
     found = frontier = graph.spark.createDataFrame([(node_id,)], "id string")
     for _ in range(depth):
         frontier = durable(both.join(frontier, F.col("s") == F.col("id"), "left_semi").select(F.col("t").alias("id")).distinct().join(found, "id", "left_anti"))

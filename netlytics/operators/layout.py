@@ -114,6 +114,11 @@ def _set(graph: Graph, xy: DataFrame) -> Graph:
     return graph.with_(nodes=joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in ("x", "y") else F.col(f"`{c}`") for c in graph.nodes.columns]))
 
 
+def take_positions(graph: Graph, placed: Graph) -> Graph:
+    """``graph`` with the positions that its nodes have in ``placed``."""
+    return _set(graph, placed.nodes.select("id", "x", "y"))
+
+
 def circular(graph: Graph, config: Circular) -> Graph:
     """Nodes in their order around a circle, beginning at the right."""
     placed = with_seq(graph.nodes.select("id", F.col("seq").alias("s")), "s", "id")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..graph import Graph, GraphError, degrees, durable, flow, undirected
 from .components import connected_components
 
+#: Louvain works on one machine up to this many links (a check of their number); beyond it rounds of joins move many nodes at once.
+MAX_LOCAL_LINKS = 200_000
 #: Adjacency is sent to all tasks only up to this many neighbour entries (8 bytes each); beyond it distances use joins.
 MAX_SHARED_NEIGHBOURS = 20_000_000
 
@@ -78,15 +80,17 @@ def compute_hits(graph: Graph, **options) -> tuple[Graph, dict]:
     return _add(graph, hits(graph, **options), ["Authority", "Hub"]), {}
 
 
-def eigenvector(graph: Graph, rounds: int = 100, shift: float = 1.0) -> DataFrame:
+def eigenvector(graph: Graph, rounds: int = 100, shift: float = 1.0, tolerance: float = 1e-10) -> DataFrame:
     """(id, eigencentrality): power iteration on in-edges plus ``shift`` times the node itself, scaled to a greatest value of 1 (Bonacich 1972)."""
     links = durable(flow(graph))
     now = graph.nodes.select("id", F.lit(1.0).alias("v"))
     for _ in range(rounds):
         got = links.join(now.select(F.col("id").alias("s"), "v"), "s").groupBy("t").agg(F.sum("v").alias("x"))
-        raw = durable(now.join(got, F.col("id") == F.col("t"), "left").select("id", (F.lit(shift) * F.col("v") + F.coalesce("x", F.lit(0.0))).alias("v")))
+        raw = durable(now.join(got, F.col("id") == F.col("t"), "left").select("id", F.col("v").alias("old"), (F.lit(shift) * F.col("v") + F.coalesce("x", F.lit(0.0))).alias("v")))
         top = raw.agg(F.max("v")).first()[0] or 1.0
         now = raw.select("id", (F.col("v") / top).alias("v"))
+        if tolerance and (raw.agg(F.max(F.abs(F.col("v") / top - F.col("old")))).first()[0] or 0.0) < tolerance:
+            break
     return now.select("id", F.col("v").alias("eigencentrality"))
 
 
@@ -126,8 +130,8 @@ def compute_clustering_coefficient(graph: Graph) -> tuple[Graph, dict]:
 # ---------------------------------------------------------------- distances
 
 
-def _brandes(starts: np.ndarray, nexts: np.ndarray, source: int):
-    """Distances from one node, and each node's share of the shortest paths from it (Brandes 2001)."""
+def _brandes(starts: np.ndarray, nexts: np.ndarray, source: int, shares: bool = True):
+    """Distances from one node, and (if asked for) each node's share of the shortest paths from it (Brandes 2001)."""
     n = len(starts) - 1
     dist, paths = np.full(n, -1), np.zeros(n)
     dist[source], paths[source] = 0, 1.0
@@ -139,8 +143,9 @@ def _brandes(starts: np.ndarray, nexts: np.ndarray, source: int):
         fresh = (dist[v] < 0) | (dist[v] == dist[frontier[0]] + 1)
         u, v = u[fresh], v[fresh]
         dist[v] = dist[frontier[0]] + 1
-        np.add.at(paths, v, paths[u])
-        layers.append((u, v))
+        if shares:
+            np.add.at(paths, v, paths[u])
+            layers.append((u, v))
         frontier = np.unique(v)
     share = np.zeros(n)
     for u, v in reversed(layers):
@@ -152,7 +157,7 @@ def _brandes(starts: np.ndarray, nexts: np.ndarray, source: int):
 _DISTANCE_COLUMNS = ["betweenesscentrality", "closnesscentrality", "harmonicclosnesscentrality", "eccentricity"]
 
 
-def _distances_shared(graph: Graph, links: DataFrame, sources: DataFrame | None):
+def _distances_shared(graph: Graph, links: DataFrame, sources: DataFrame | None, shares: bool = True):
     """Every task runs breadth-first searches for its sources over the same compact adjacency, whose size has been checked."""
     nodes = graph.nodes.select("id").toArrow().column("id").to_pandas()
     index = pd.Series(np.arange(len(nodes)), index=nodes)
@@ -169,7 +174,7 @@ def _distances_shared(graph: Graph, links: DataFrame, sources: DataFrame | None)
         for batch in batches:
             rows = []
             for name in batch["id"]:
-                dist, share = _brandes(starts, nexts, place[name])
+                dist, share = _brandes(starts, nexts, place[name], shares)
                 far = dist[dist > 0]
                 rows.append((name, 0.0, len(far), float(far.sum()), float((1.0 / far).sum()), int(far.max(initial=0))))
                 total += share
@@ -182,7 +187,7 @@ def _distances_shared(graph: Graph, links: DataFrame, sources: DataFrame | None)
     return parts.groupBy("id").agg(F.sum("share").alias("share"), F.sum("reached").alias("reached"), F.sum("far").alias("far"), F.sum("near").alias("near"), F.max("ecc").alias("ecc"))
 
 
-def _distances_joined(graph: Graph, links: DataFrame, sources: DataFrame | None):
+def _distances_joined(graph: Graph, links: DataFrame, sources: DataFrame | None, shares: bool = True):
     """The same by joins, one layer of all searches at a time; for adjacency too large to share."""
     links = durable(links)
     frontier = (graph.nodes if sources is None else sources).select(F.col("id").alias("o"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("p"))
@@ -196,7 +201,7 @@ def _distances_joined(graph: Graph, links: DataFrame, sources: DataFrame | None)
         depth, found = depth + 1, durable(found.unionByName(frontier))
     share = found.where(F.col("d") == depth).select("o", "v", F.lit(0.0).alias("q"))
     done = share
-    for d in range(depth, 0, -1):
+    for d in range(depth if shares else 0, 0, -1):
         layer = found.where(F.col("d") == d).join(share, ["o", "v"], "left").select("o", "v", ((1 + F.coalesce("q", F.lit(0.0))) / F.col("p")).alias("c"))
         up = layer.join(links, F.col("v") == F.col("t")).select("o", F.col("s").alias("u"), "c")
         share = durable(up.join(found.where(F.col("d") == d - 1).select("o", F.col("v").alias("u"), "p"), ["o", "u"]).groupBy("o", "u").agg(F.sum(F.col("c") * F.col("p")).alias("q")).withColumnRenamed("u", "v"))
@@ -206,19 +211,19 @@ def _distances_joined(graph: Graph, links: DataFrame, sources: DataFrame | None)
     return graph.nodes.select("id").join(between, "id", "left").join(far, "id", "left").na.fill(0)
 
 
-def distances(graph: Graph, directed: bool = False, normalized: bool = True, sample: int | None = None, shared: bool | None = None) -> tuple[DataFrame, dict]:
+def distances(graph: Graph, directed: bool = False, normalized: bool = True, sample: int | None = None, shared: bool | None = None, shares: bool = True) -> tuple[DataFrame, dict]:
     """(id, betweenness, closeness, harmonic closeness, eccentricity) and the path scalars.
 
     Closeness is reached/sum of distances, harmonic the sum of 1/distance over n-1; nodes that reach
     nothing have 0.  ``sample`` searches from that many nodes chosen by hash and scales betweenness up:
-    an approximation for graphs too large for all sources.
+    an approximation for graphs too large for all sources.  Without ``shares`` betweenness is left at 0 and not worked out.
     """
     n = graph.nodes.count()
     links = flow(graph).where("s <> t").distinct() if directed else undirected(graph)
     sources = graph.nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(sample) if sample and sample < n else None
     if shared is None:
         shared = n + links.count() <= MAX_SHARED_NEIGHBOURS
-    raw = durable((_distances_shared if shared else _distances_joined)(graph, links, sources))
+    raw = durable((_distances_shared if shared else _distances_joined)(graph, links, sources, shares))
     scale = (n / sample if sources is not None else 1.0) / (1 if directed else 2)
     if normalized:
         scale = scale / ((n - 1) * (n - 2) / (1 if directed else 2)) if n > 2 else 0.0
@@ -240,7 +245,7 @@ def compute_betweenness(graph: Graph, **options) -> tuple[Graph, dict]:
 
 
 def compute_avg_path_length(graph: Graph, **options) -> tuple[Graph, dict]:
-    return graph, distances(graph, directed=False, **options)[1]
+    return graph, distances(graph, directed=False, shares=False, **options)[1]
 
 
 # ---------------------------------------------------------------- modularity
@@ -308,11 +313,64 @@ def _local_moves(links: DataFrame, k: DataFrame, total: float, resolution: float
     return now.select("id", F.col("c").alias("community"))
 
 
-def louvain(graph: Graph, resolution: float = 1.0) -> DataFrame:
-    """(id, community) by repeated local moves and contraction, until neither changes anything (Blondel et al. 2008; resolution as Reichardt & Bornholdt 2006); never worse than single nodes."""
+def _one_by_one(links: dict[int, dict[int, float]], total: float, resolution: float) -> dict[int, int]:
+    """Communities from moves of single nodes, in order, until none gains."""
+    degree = {v: sum(to.values()) for v, to in links.items()}
+    own, weight = {v: v for v in links}, dict(degree)
+    moved = True
+    while moved:
+        moved = False
+        for v, to in links.items():
+            here, k = own[v], degree[v]
+            near: dict[int, float] = {here: 0.0}
+            for u, w in to.items():
+                if u != v:
+                    near[own[u]] = near.get(own[u], 0.0) + w
+            weight[here] -= k
+            gain = {c: w - resolution * k * weight[c] / total for c, w in near.items()}
+            best = max(gain, key=lambda c: (gain[c], -c))
+            if gain[best] <= gain[here] + 1e-12:
+                best = here
+            weight[best] += k
+            if best != here:
+                own[v], moved = best, True
+    return own
+
+
+def _louvain_here(graph: Graph, links: DataFrame, total: float, resolution: float) -> DataFrame:
+    """Louvain on the driver, for links whose number has been checked: local moves and contraction until nothing changes."""
+    table = links.orderBy("s", "t").toPandas()
+    names = sorted(set(table["s"]) | set(table["t"]))
+    place = {n: i for i, n in enumerate(names)}
+    now: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
+    for s, t, w in zip(table["s"], table["t"], table["w"], strict=True):
+        now[place[s]][place[t]] = w
+    member = list(range(len(names)))
+    while True:
+        own = _one_by_one(now, total, resolution)
+        if len(set(own.values())) == len(now):
+            break
+        member = [own[c] for c in member]
+        merged: dict[int, dict[int, float]] = {c: {} for c in sorted(set(own.values()))}
+        for v, to in now.items():
+            row = merged[own[v]]
+            for u, w in to.items():
+                row[own[u]] = row.get(own[u], 0.0) + w
+        now = merged
+    found = graph.spark.createDataFrame([(n, names[c]) for n, c in zip(names, member, strict=True)], "id string, next string")
+    return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("next", "id").alias("community"))
+
+
+def louvain(graph: Graph, resolution: float = 1.0, here: bool | None = None) -> DataFrame:
+    """(id, community) by repeated local moves and contraction, until neither changes anything (Blondel et al. 2008; resolution as Reichardt & Bornholdt 2006); never worse than single nodes.
+
+    ``here``: on the driver (None: if there are at most ``MAX_LOCAL_LINKS`` links).
+    """
     e = graph.edges.select(F.col("source").alias("s"), F.col("target").alias("t"))
     links = durable(e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t"))).groupBy("s", "t").agg(F.count("*").cast("double").alias("w")))
     total = links.agg(F.sum("w")).first()[0]
+    if total and (links.count() <= MAX_LOCAL_LINKS if here is None else here):
+        return _louvain_here(graph, links, total, resolution)
     member = durable(graph.nodes.select("id", F.col("id").alias("community")))
     best = modularity_score(graph, member, resolution).first()[0]
     while total:

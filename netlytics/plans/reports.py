@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, degrees
+from ..graph import Graph, degrees, durable, with_seq
 from ..operators import statistics as S
 from ..operators.components import connected_components
 from ..operators.query import graph_stats
@@ -29,9 +31,20 @@ def top_overlap(values: DataFrame, metrics: list[str], k: int = 10, least: int =
     return top_k(values, metrics, k, order).groupBy("id").agg(F.count("*").alias("lists")).where(F.col("lists") >= least)
 
 
+def percentile(values: DataFrame, column: str, share: float) -> float | None:
+    """The exact value at a share of the sorted column, between neighbours by their distance; sorted by range, so no task holds all values."""
+    placed = with_seq(values.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL"), "v")
+    n = placed.count()
+    at = (n - 1) * share
+    low, high = math.floor(at), math.ceil(at)
+    got = {r["seq"]: r["v"] for r in placed.where(F.col("seq").isin(low, high)).collect()}  # two rows
+    return got[low] + (got[high] - got[low]) * (at - low) if n else None
+
+
 def roles(values: DataFrame, betweenness: str = "betweenesscentrality", degree: str = "degree", share: float = 0.5) -> DataFrame:
     """(id, role): by whether betweenness and degree are over their medians (or another share)."""
-    b, d = values.agg(F.percentile(betweenness, share), F.percentile(degree, share)).first()
+    values = durable(values.select("id", betweenness, degree))
+    b, d = percentile(values, betweenness, share), percentile(values, degree, share)
     high_b, high_d = F.col(betweenness) > F.lit(b), F.col(degree) > F.lit(d)
     return values.select("id", F.when(high_b & high_d, "critical hub").when(high_b, "bridge").when(high_d, "local hub").otherwise("peripheral").alias("role"))
 

@@ -483,3 +483,4 @@ def layout_fruchterman_reingold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.run_layout(trade(spark, sf_dir).checkpoint(), "Fruchterman Reingold", 5).nodes.select("id", "x", "y")
 
 
+from . import session_queries  # noqa: E402, F401  registers the queries that call operators by name

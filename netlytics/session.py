@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,10 +133,13 @@ class Session:
         return {name: found, "count": len(found), "total": total}
 
     def _run_layout(self, algorithm: str, iterations: int = 1000, properties: dict | None = None) -> dict:
-        at = self.current
+        own = self.workspaces[self.current][0] if self.current >= 0 else None
 
         def done(graph):
-            self.workspaces[at] = (self.workspaces[at][0], graph)
+            """Only positions go back, to the workspace the layout began in if it is still there: edits made meanwhile stay."""
+            for k, (i, now) in enumerate(self.workspaces):
+                if i == own:
+                    self.workspaces[k] = (i, L.take_positions(now, graph).checkpoint())
 
         self.job.start(self.graph, algorithm, iterations, properties, done)
         return {"status": "running", "layout": self.job.name}
@@ -187,8 +191,10 @@ class Session:
         if run is None:
             return {"success": False, "error": f"unknown operator: {operator}"}
         try:
-            return {"success": True} | run(**parameters)
+            inspect.signature(run).bind(**parameters)
         except TypeError as e:
             return {"success": False, "error": f"Missing or unknown parameter: {e}"}
-        except G.GraphError as e:
-            return {"success": False, "error": str(e)}
+        try:
+            return {"success": True} | run(**parameters)
+        except Exception as e:  # whatever goes wrong is an answer, not an end of the session
+            return {"success": False, "error": str(e) or type(e).__name__}

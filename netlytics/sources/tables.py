@@ -1,6 +1,6 @@
 """Graph files in and out: CSV, GEXF, GraphML, GML, DOT, Pajek, and whole projects as Parquet.
 
-Writers make folders of part files whose lines are in order when read part by part; ``merge`` joins them
+Nested text formats are parsed in ``text_formats``.  Writers make folders of part files whose lines are in order when read part by part; ``merge`` joins them
 into one file on the driver's file system, line by line, for programs that want a single file.
 """
 
@@ -15,8 +15,9 @@ import shutil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph, GraphError, edge_frame, node_frame, with_seq
+from ..graph import EDGE_BUILTIN, NODE_BUILTIN, Graph, GraphError, edge_frame, node_frame, start_position, with_seq
 from ..operators.edit import add_edges_frame, add_nodes_frame
+from .text_formats import parsed, with_attributes
 
 _ATTRIBUTE_TYPES = {"string": "string", "int": "integer", "bigint": "long", "float": "float", "double": "double", "boolean": "boolean"}
 _BACK = {"integer": "int", "int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "string": "string"}
@@ -29,9 +30,13 @@ def _typed(df: DataFrame, column: str, kind: str):
 # ---------------------------------------------------------------- CSV
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ",") -> Graph:
-    """Rows with Source and Target are edges, rows with Id are nodes; other columns become attributes with inferred types."""
-    df = spark.read.csv(path, header=True, sep=separator, inferSchema=True, escape='"')
+def read_csv(spark: SparkSession, path: str, separator: str = ",", multiline: bool = True) -> Graph:
+    """Rows with Source and Target are edges, rows with Id are nodes; other columns become attributes with inferred types.
+
+    Quoted fields may hold separators, quotation marks and line breaks.  Where no field holds a line break,
+    ``multiline=False`` lets several tasks read one file.
+    """
+    df = spark.read.csv(path, header=True, sep=separator, inferSchema=True, escape='"', multiLine=multiline)
     names = {c.lower(): c for c in df.columns}
     if "source" in names and "target" in names:
         ren = {names[k]: k for k in ("source", "target", "weight", "label") if k in names}
@@ -63,12 +68,22 @@ def from_tables(nodes: DataFrame | None, edges: DataFrame | None) -> Graph:
     return Graph(node_frame(nodes), edge_frame(edges))
 
 
+def _quoted(value, separator: str):
+    """A field in quotation marks where it holds a separator, a quotation mark, a line break, or space at an end."""
+    odd = value.rlike(f'[{re.escape(separator)}"\\r\\n]|^\\s|\\s$')
+    return F.when(odd, F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
 def _line(df: DataFrame, columns: list[str], separator: str):
-    return F.concat_ws(separator, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+    return F.concat_ws(separator, *[_quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), separator) for c in columns])
+
+
+def _header(names: list[str], separator: str) -> str:
+    return separator.join('"' + n.replace('"', '""') + '"' if re.search(f'[{re.escape(separator)}"\\r\\n]', n) else n for n in names)
 
 
 def csv_lines(graph: Graph, separator: str = ",", target: str = "nodes") -> DataFrame:
-    """(block, seq, line): the header and the rows of nodes, edges or both; nulls are empty, nothing is quoted."""
+    """(block, seq, line): the header and the rows of nodes, edges or both; nulls are empty, fields are quoted where they must be."""
     spark, out = graph.spark, None
     blocks = []
     if target != "edges":
@@ -76,7 +91,7 @@ def csv_lines(graph: Graph, separator: str = ",", target: str = "nodes") -> Data
     if target in ("edges", "both"):
         blocks.append((2, graph.edges, ["source", "target", "weight", *graph.attributes("edge")], ["Source", "Target", "Weight", *graph.attributes("edge")]))
     for block, df, columns, header in blocks:
-        head = spark.createDataFrame([(block, -1, separator.join(header))] + ([(1, 0, "")] if target == "both" and block == 0 else []), "block int, seq long, line string")
+        head = spark.createDataFrame([(block, -1, _header(header, separator))] + ([(1, 0, "")] if target == "both" and block == 0 else []), "block int, seq long, line string")
         rows = head.unionByName(df.select(F.lit(block).alias("block"), "seq", _line(df, columns, separator).alias("line")))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -196,51 +211,32 @@ def read_graphml(spark: SparkSession, path: str) -> Graph:
     return from_tables(with_seq(n, "id"), with_seq(e, "source", "target"))
 
 
-# ---------------------------------------------------------------- line formats
+# ---------------------------------------------------------------- nested text formats
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.btrim("value").alias("line")).where("line <> ''")
+def _read_text(spark: SparkSession, path: str, kind: str) -> Graph:
+    rows = parsed(spark, path, kind)
+    looks = ["r", "g", "b"]
+    # Of repeated nodes the last statement with a label or a place counts (Pajek numbers its vertices first).
+    nodes = rows.where("kind = 'node'").groupBy("id").agg(F.max_by(F.struct("label", "x", "y", "size", *looks, "attributes"), F.struct(F.col("label").isNotNull(), F.col("x").isNotNull())).alias("n")).select("id", "n.*")
+    nodes = with_attributes(nodes.withColumn("label", F.coalesce("label", "id")), NODE_BUILTIN)
+    edges = with_attributes(rows.where("kind = 'edge'").select("source", "target", "label", "weight", "directed", *looks, "attributes"), EDGE_BUILTIN)
+    grey = {c: F.coalesce(c, F.lit(153)) for c in looks}
+    place = {c: F.coalesce(F.col(c).cast("float"), start_position(F.col("id"), c)) for c in ("x", "y")}
+    nodes = nodes.withColumns(grey | place | {"size": F.coalesce(F.col("size").cast("float"), F.lit(10.0).cast("float"))})
+    return from_tables(with_seq(nodes, "id"), with_seq(edges.withColumns(grey), "source", "target"))
 
 
 def read_gml(spark: SparkSession, path: str) -> Graph:
-    """GML: a file is split at its ``node [`` and ``edge [`` blocks, so it need not fit one record."""
-    blocks = spark.read.option("lineSep", "]").text(path).select(F.col("value").alias("v"))
-    get = lambda name: F.nullif(F.regexp_extract("v", rf'(?s)(?:^|\s){name}\s+(?:"([^"]*)"|(\S+))', 1), F.lit(""))
-    bare = lambda name: F.nullif(F.regexp_extract("v", rf"(?s)(?:^|\s){name}\s+([^\s\"]+)", 1), F.lit(""))
-    either = lambda name: F.coalesce(get(name), bare(name))
-    nodes = blocks.where(F.col("v").rlike(r"(?s)node\s*\[")).select(either("id").alias("id"), either("label").alias("label"))
-    edges = blocks.where(F.col("v").rlike(r"(?s)edge\s*\[")).select(either("source").alias("source"), either("target").alias("target"), F.coalesce(F.coalesce(bare("weight"), bare("value")).try_cast("double"), F.lit(1.0)).alias("weight"), either("label").alias("label"))
-    return from_tables(with_seq(nodes.where("id IS NOT NULL").withColumn("label", F.coalesce("label", "id")), "id"), with_seq(edges.where("source IS NOT NULL"), "source", "target"))
+    return _read_text(spark, path, "gml")
 
 
 def read_dot(spark: SparkSession, path: str) -> Graph:
-    """DOT, one statement a line: chains ``a -> b -> c`` or ``a -- b``, and nodes with attributes."""
-    name = r'(?:"[^"]*"|[\w.]+)'
-    lines = _lines(spark, path).where(~F.col("line").rlike(r"^(strict\s+)?(di)?graph\b|^[}{]|^(node|edge|graph)\s*\[|^//|^#"))
-    clean = lambda c: F.regexp_replace(c, r'^"|"$', "")
-    label = F.nullif(F.regexp_extract("line", r'label\s*=\s*"?([^",\]]*)"?', 1), F.lit(""))
-    weight = F.coalesce(F.nullif(F.regexp_extract("line", r"weight\s*=\s*\"?([-\d.eE]+)", 1), F.lit("")).try_cast("double"), F.lit(1.0))
-    chain = lines.where(F.col("line").rlike(rf"^{name}\s*-[->]")).select("line", weight.alias("weight"), label.alias("label"), (F.instr("line", "->") > 0).alias("directed"), F.regexp_extract_all(F.regexp_replace("line", r"\[[^\]]*\].*$|;\s*$", ""), F.lit(f"({name})"), F.lit(1)).alias("ends"))
-    pair = F.explode(F.zip_with(F.slice("ends", F.lit(1), F.size("ends") - 1), F.slice("ends", F.lit(2), F.size("ends") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    edges = chain.select("weight", "label", "directed", pair.alias("p")).select(clean(F.col("p.a")).alias("source"), clean(F.col("p.b")).alias("target"), "weight", "label", "directed")
-    nodes = lines.where(~F.col("line").rlike(rf"^{name}\s*-[->]")).select(clean(F.regexp_extract("line", f"^({name})", 1)).alias("id"), label.alias("label")).where("id <> ''")
-    return from_tables(with_seq(nodes.dropDuplicates(["id"]).withColumn("label", F.coalesce("label", "id")), "id"), with_seq(edges, "source", "target"))
+    return _read_text(spark, path, "dot")
 
 
 def read_pajek(spark: SparkSession, path: str) -> Graph:
-    """Pajek: vertices are rows of a number and a quoted label, arcs and edges rows of numbers; the section of a row is that of the last ``*`` line before it."""
-    rows = spark.read.text(path).select(F.btrim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where("line <> '' AND NOT line LIKE '\\\\%%'")
-    marks = sorted((r["at"], r["line"].split()[0].lower()) for r in rows.where(F.col("line").startswith("*")).collect())  # section heads, a handful
-    part = F.lit("")
-    for at, kind in marks:
-        part = F.when(F.col("at") > at, F.lit(kind)).otherwise(part)
-    rows = rows.where(~F.col("line").startswith("*")).withColumn("part", part)
-    label = F.nullif(F.regexp_extract("line", r'^\d+\s+"([^"]*)"', 1), F.lit(""))
-    nodes = rows.where("part = '*vertices'").select(F.regexp_extract("line", r"^(\d+)", 1).alias("id"), label.alias("label"))
-    cells = F.split("line", r"\s+")
-    edges = rows.where("part IN ('*arcs', '*edges')").select(F.get(cells, F.lit(0)).alias("source"), F.get(cells, F.lit(1)).alias("target"), F.coalesce(F.get(cells, F.lit(2)).try_cast("double"), F.lit(1.0)).alias("weight"), (F.col("part") == "*arcs").alias("directed"))
-    return from_tables(with_seq(nodes.withColumn("label", F.coalesce("label", "id")), "id"), with_seq(edges, "source", "target"))
+    return _read_text(spark, path, "net")
 
 
 READERS = {"gexf": read_gexf, "graphml": read_graphml, "csv": read_csv, "gml": read_gml, "dot": read_dot, "gv": read_dot, "net": read_pajek}
