@@ -1,8 +1,10 @@
 """Layouts: positions by formula, by forces, and passes against overlap.
 
-Forces are computed in tasks.  Attraction is a join of edges with positions.  Repulsion uses a grid in
-place of an exact sum: the masses and centres of at most ``GRID`` x ``GRID`` cells, a bounded table, go to
-every task, and each node is pushed by the cells.  A round ends with a checkpoint.
+Forces are computed in tasks.  Attraction is a join of edges with positions.  Repulsion is exact for at most
+``EXACT_NODES`` nodes, whose places go to every task.  Beyond it a tree of cells takes the place of the sum (Barnes & Hut 1986):
+squares, each cut into four, with their masses and centres, in a table of at most ``MAX_CELLS`` smallest squares.  A square is taken as a whole where its width is under
+``theta`` times its distance, or where it holds one node, else its four parts are.  The smallest are always taken whole: with at most ``MAX_CELLS`` nodes
+they are 1/4096 of the picture wide, with more 1/256, where dense parts are pushed less exactly.  A round ends with a table written.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, GraphError, degrees, durable, start_position, with_seq
 
-GRID = 32
+EXACT_NODES, MAX_CELLS = 2000, 1 << 16
 
 
 @dataclass
@@ -58,7 +60,7 @@ class YifanHu:
     optimalDistance: float = 100.0
     relativeStrength: float = 0.2
     initialStep: float = 20.0
-    theta: float = 1.2
+    barnesHutTheta: float = 1.2
 
 
 @dataclass
@@ -74,6 +76,30 @@ class LabelAdjust:
     adjustBySize: bool = True
 
 
+DESCRIPTIONS = {
+    "radius": "distance of the nodes from the centre",
+    "size": "side of the square in which nodes are placed",
+    "seed": "another number gives other places",
+    "area": "the area that nodes share, which gives their ideal distance",
+    "gravity": "strength of the pull to the centre",
+    "speed": "how far nodes go in a round",
+    "scalingRatio": "strength of the repulsion",
+    "linLogMode": "attraction by the logarithm of the distance",
+    "strongGravityMode": "a pull to the centre that grows with the distance",
+    "edgeWeightInfluence": "the power of an edge's weight in its attraction",
+    "jitterTolerance": "how much swinging is allowed for speed",
+    "outboundAttractionDistribution": "attraction divided by the degree of the source",
+    "adjustSizes": "attraction and repulsion from border to border of the nodes",
+    "barnesHutOptimize": "repulsion by a tree of cells where there are many nodes",
+    "barnesHutTheta": "a cell is one body where its width is under this share of its distance",
+    "stepRatio": "how much shorter each step is than the one before",
+    "optimalDistance": "length of an edge at rest",
+    "relativeStrength": "repulsion against attraction",
+    "initialStep": "length of the first step",
+    "ratio": "factor of a node's size",
+    "margin": "space between nodes",
+    "adjustBySize": "label widths follow node sizes",
+}
 LAYOUTS = {"Circular": Circular, "Random Layout": RandomLayout, "Fruchterman Reingold": FruchtermanReingold, "ForceAtlas 2": ForceAtlas2, "Yifan Hu": YifanHu, "Noverlap": Noverlap, "Label Adjust": LabelAdjust}
 
 
@@ -94,7 +120,7 @@ def available_layouts() -> list[str]:
 
 def layout_properties(algorithm: str) -> list[dict]:
     kind = LAYOUTS[find_layout(algorithm)]
-    return [{"name": f.name, "display_name": f.name, "type": f.type, "value": f.default, "description": f"{f.name} of {find_layout(algorithm)}"} for f in fields(kind)]
+    return [{"name": f.name, "display_name": f.name, "type": f.type, "value": f.default, "description": DESCRIPTIONS[f.name]} for f in fields(kind)]
 
 
 def _configured(name: str, properties: dict | None):
@@ -133,56 +159,127 @@ def random_layout(graph: Graph, config: RandomLayout) -> Graph:
     return _set(graph, graph.nodes.select("id", (start_position(seeded, "x") * half).alias("x"), (start_position(seeded, "y") * half).alias("y")))
 
 
-def _grid(state: DataFrame) -> np.ndarray:
-    """(mass, x, y) of the cells with nodes: at most GRID x GRID rows."""
-    lo_x, hi_x, lo_y, hi_y = state.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    cell = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / max(hi - lo, 1e-9) * GRID), F.lit(GRID - 1))
-    cells = state.groupBy(cell("x", lo_x, hi_x).alias("i"), cell("y", lo_y, hi_y).alias("j")).agg(F.sum("mass").alias("m"), (F.sum(F.col("x") * F.col("mass")) / F.sum("mass")).alias("x"), (F.sum(F.col("y") * F.col("mass")) / F.sum("mass")).alias("y"))
-    return cells.select("m", "x", "y").toPandas().to_numpy(float)
+def levels_above(below: np.ndarray) -> list[np.ndarray]:
+    """Levels of (i, j, mass, x, y, size, nodes), each with cells of four of the level below, from a single cell down to ``below``."""
+    levels = [below]
+    while len(levels[0]) > 1 or levels[0][:, :2].any():
+        below = levels[0]
+        keys, at = np.unique(below[:, :2] // 2, axis=0, return_inverse=True)
+        at = at.ravel()
+        mass = np.bincount(at, below[:, 2])
+        levels.insert(0, np.column_stack((keys, mass, *(np.bincount(at, below[:, 2] * below[:, c]) / mass for c in (3, 4, 5)), np.bincount(at, below[:, 6]))))
+    return levels
+
 
+def _bodies(state: DataFrame, n: int) -> tuple[list[np.ndarray], float]:
+    """The levels of the tree and the width of its first cell; one level of all nodes where the sum is exact.
 
-def _push(cells: np.ndarray, force):
-    """Adds the push of all cells on each node (its own mass taken out of a cell that is nothing else)."""
+    At most ``EXACT_NODES`` or ``MAX_CELLS`` rows come to the driver.
+    """
+    if n <= EXACT_NODES:
+        rows = state.select("mass", "x", "y", "size").toPandas().to_numpy(float)
+        return [np.column_stack((np.zeros((len(rows), 2)), rows, np.ones(len(rows))))], 0.0
+    lo_x, hi_x, lo_y, hi_y = state.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    depth = 12 if n <= MAX_CELLS else 8
+    width, side = max(hi_x - lo_x, hi_y - lo_y, 1e-9), 1 << depth
+    cell = lambda c, lo: F.least(F.floor((F.col(c) - lo) / width * side), F.lit(side - 1))
+    m = F.sum("mass")
+    cells = state.groupBy(cell("x", lo_x).alias("i"), cell("y", lo_y).alias("j")).agg(m.alias("m"), (F.sum(F.col("x") * F.col("mass")) / m).alias("x"), (F.sum(F.col("y") * F.col("mass")) / m).alias("y"), (F.sum(F.col("size") * F.col("mass")) / m).alias("s"), F.count("*").alias("c"))
+    levels = levels_above(cells.select("i", "j", "m", "x", "y", "s", "c").toPandas().to_numpy(float))
+    return levels, width / side * (1 << (len(levels) - 1))
+
+
+def _push(levels: list[np.ndarray], width: float, theta: float, force, sizes: bool):
+    """Adds the push of all bodies on each node; a node is not pushed by what lies exactly on it."""
+
+    def pushes(x, y, mass, size, cells):
+        dx, dy = x - cells[:, 3], y - cells[:, 4]
+        d = np.sqrt(dx * dx + dy * dy)
+        gap = np.maximum(d - (size + cells[:, 5]) / 2, 1e-1) if sizes else d
+        f = np.where(d < 1e-9, 0.0, force(np.maximum(gap, 1e-2), mass, cells[:, 2]) / np.maximum(d, 1e-2))
+        return dx * f, dy * f
+
+    parts = []  # for each level but the last: the cells of the next one in the order of those they are parts of, and how many each has
+    for cells, below in zip(levels, levels[1:], strict=False):
+        place = {(i, j): k for k, (i, j) in enumerate(cells[:, :2].astype(int).tolist())}
+        above = np.array([place[i // 2, j // 2] for i, j in below[:, :2].astype(int).tolist()])
+        count = np.bincount(above, minlength=len(cells))
+        parts.append((np.argsort(above, kind="stable"), np.cumsum(count) - count, count))
 
     def run(batches):
         for pdf in batches:
-            x, y, mass = (pdf[c].to_numpy(float) for c in ("x", "y", "mass"))
-            dx, dy = x[:, None] - cells[None, :, 1], y[:, None] - cells[None, :, 2]
-            d = np.sqrt(dx * dx + dy * dy)
-            near = d < 1e-9
-            f = np.where(near, 0.0, force(np.maximum(d, 1e-2), mass[:, None], cells[None, :, 0])) / np.maximum(d, 1e-2)
-            yield pdf.assign(px=(dx * f).sum(1), py=(dy * f).sum(1))
+            x, y, mass, size = (pdf[c].to_numpy(float) for c in ("x", "y", "mass", "size"))
+            px, py = np.zeros(len(x)), np.zeros(len(x))
+            for a in range(0, len(x), 512):  # pairs of some nodes and the bodies of a level, at most 2 M at once
+                part = slice(a, min(a + 512, len(x)))
+                who = np.arange(part.start, part.stop)
+                cells = levels[0]
+                node, body = np.repeat(who, len(cells)), np.tile(np.arange(len(cells)), len(who))
+                for depth, cells in enumerate(levels):
+                    dx, dy = x[node] - cells[body, 3], y[node] - cells[body, 4]
+                    last = depth == len(levels) - 1
+                    whole = (cells[body, 6] == 1) | last | (width / (1 << depth) < theta * np.sqrt(dx * dx + dy * dy))
+                    n, b = node[whole], body[whole]
+                    fx, fy = pushes(x[n], y[n], mass[n], size[n], cells[b])
+                    px += np.bincount(n, fx, len(x))
+                    py += np.bincount(n, fy, len(x))
+                    if not last:
+                        order, first, count = parts[depth]
+                        n, b = node[~whole], body[~whole]
+                        size_of = count[b]
+                        node = np.repeat(n, size_of)
+                        body = order[np.repeat(first[b] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())]
+            yield pdf.assign(px=px, py=py)
 
     return run
 
 
-def _forces(graph: Graph, iterations: int, attract, repel, gravity: float, cool, stop, weight: float = 0.0, mass=None, strong: bool = False):
-    """Rounds of pushes by cells, pulls along edges and a pull to the centre; ``cool(i)`` bounds a node's way in round i."""
+def _forces(
+    graph: Graph, iterations: int, attract, repel, gravity: float, stop, *, cool=None, jitter: float = 1.0, weight: float = 0.0, mass=None, strong: bool = False, theta: float = 1.2, tree: bool = True, by_source: bool = False, sizes: bool = False
+) -> Graph:
+    """Rounds of pushes, pulls along edges and a pull to the centre.
+
+    With ``cool``, ``cool(i)`` bounds a node's way in round i.  Without it nodes have speeds of their own (Jacomy et al. 2014): a node
+    that swings, whose force turns from round to round, slows down, and the speed of all follows the ratio of traction to swinging.
+    """
     d = degrees(graph).select("id", (F.col("degree") + 1.0).alias("mass"))
-    start = graph.nodes.select("id", F.coalesce("x", F.lit(0.0)).cast("double").alias("x"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y"))
-    state = durable(start.join(d, "id")) if mass is None else durable(start.withColumn("mass", F.lit(mass)))
+    start = graph.nodes.select("id", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("x", "y", "size")])
+    start = start.join(d, "id") if mass is None else start.withColumn("mass", F.lit(mass))
+    state = durable(start.select("id", "x", "y", "size", "mass", F.lit(0.0).alias("fx0"), F.lit(0.0).alias("fy0")))
+    n = state.count()
+    if not tree and n > EXACT_NODES:
+        raise GraphError(f"an exact sum of repulsions is only for graphs of at most {EXACT_NODES} nodes")
     links = durable(graph.edges.where("source <> target").select(F.col("source").alias("s"), F.col("target").alias("t"), F.pow(F.greatest("weight", F.lit(0.0)), F.lit(weight)).alias("w")))
-    schema = "id string, x double, y double, mass double, px double, py double"
-    for i in range(iterations):
+    schema = "id string, x double, y double, size double, mass double, fx0 double, fy0 double, px double, py double"
+    speed = 1.0
+    for i in range(iterations if n else 0):
         if stop():
             break
-        cells = _grid(state)
-        if not len(cells):
-            break
-        pushed = state.mapInPandas(_push(cells, repel), schema)
-        at = state.select("id", "x", "y", "mass")
-        e = links.join(at.toDF("s", "sx", "sy", "sm"), "s").join(at.toDF("t", "tx", "ty", "tm"), "t")
+        pushed = state.mapInPandas(_push(*_bodies(state, n), theta, repel, sizes), schema)
+        at = state.select("id", "x", "y", "size", "mass")
+        e = links.join(at.toDF("s", "sx", "sy", "ss", "sm"), "s").join(at.toDF("t", "tx", "ty", "ts", "tm"), "t")
         dx, dy = F.col("tx") - F.col("sx"), F.col("ty") - F.col("sy")
         dist = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-2))
-        e = e.select("s", "t", (dx / dist * attract(dist) * F.col("w")).alias("fx"), (dy / dist * attract(dist) * F.col("w")).alias("fy"))
+        gap = F.greatest(dist - (F.col("ss") + F.col("ts")) / 2, F.lit(0.0)) if sizes else dist
+        pull = attract(gap) * F.col("w") / (F.col("sm") if by_source else F.lit(1.0))
+        e = e.select("s", "t", (dx / dist * pull).alias("fx"), (dy / dist * pull).alias("fy"))
         pulls = e.select(F.col("s").alias("id"), "fx", "fy").unionByName(e.select(F.col("t").alias("id"), (-F.col("fx")).alias("fx"), (-F.col("fy")).alias("fy"))).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
         r = F.greatest(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2), F.lit(1e-2))
         g = F.lit(gravity) * F.col("mass") * (F.lit(1.0) if strong else 1.0 / r)
         fx = F.col("px") + F.coalesce("fx", F.lit(0.0)) - F.col("x") * g
         fy = F.col("py") + F.coalesce("fy", F.lit(0.0)) - F.col("y") * g
-        way = F.greatest(F.sqrt(fx * fx + fy * fy), F.lit(1e-9))
-        bound = F.least(F.lit(1.0), F.lit(cool(i)) / way)
-        state = durable(pushed.join(pulls, "id", "left").select("id", (F.col("x") + fx * bound).alias("x"), (F.col("y") + fy * bound).alias("y"), "mass"))
+        moved = durable(pushed.join(pulls, "id", "left").select("id", "x", "y", "size", "mass", "fx0", "fy0", fx.alias("fx"), fy.alias("fy")))
+        length = F.greatest(F.sqrt(F.pow("fx", F.lit(2)) + F.pow("fy", F.lit(2))), F.lit(1e-9))
+        if cool is not None:
+            factor = F.least(F.lit(1.0), F.lit(cool(i)) / length)
+        else:
+            swing = F.sqrt(F.pow(F.col("fx") - F.col("fx0"), 2) + F.pow(F.col("fy") - F.col("fy0"), 2))
+            traction = F.sqrt(F.pow(F.col("fx") + F.col("fx0"), 2) + F.pow(F.col("fy") + F.col("fy0"), 2)) / 2
+            total_swing, total_traction = moved.agg(F.sum(F.col("mass") * swing), F.sum(F.col("mass") * traction)).first()
+            speed = min(jitter * total_traction / max(total_swing, 1e-9), 1.5 * speed) if i else 0.1
+            own = F.lit(speed) / (1.0 + F.lit(speed) * F.sqrt(swing))
+            factor = F.least(own, 10.0 / length) if sizes else own
+        state = moved.select("id", (F.col("x") + F.col("fx") * factor).alias("x"), (F.col("y") + F.col("fy") * factor).alias("y"), "size", "mass", F.col("fx").alias("fx0"), F.col("fy").alias("fy0"))
     return _set(graph, state)
 
 
@@ -230,12 +327,16 @@ def run_layout(graph: Graph, algorithm: str, iterations: int = 1000, properties:
         return _apart(graph, n, width, c.speed, stop)
     if isinstance(c, FruchtermanReingold):
         k = math.sqrt(c.area / max(1, graph.nodes.count())) * 10
-        return _forces(graph, n, lambda d: d * d / k, lambda d, m, cell: k * k * cell / d, 0.01 * c.gravity, lambda i: max(1.0, c.speed * k * (1 - i / n)), stop, mass=1.0, strong=True)
+        return _forces(graph, n, lambda d: d * d / k, lambda d, m, cell: k * k * cell / d, 0.01 * c.gravity, stop, cool=lambda i: max(1.0, c.speed * k * (1 - i / n)), mass=1.0, strong=True)
     if isinstance(c, ForceAtlas2):
         pull = (lambda d: F.log1p(d)) if c.linLogMode else (lambda d: d)
-        return _forces(graph, n, pull, lambda d, m, cell: c.scalingRatio * m * cell / d, c.gravity, lambda i: 50.0 * c.jitterTolerance * (1 - i / n) + 0.5, stop, weight=c.edgeWeightInfluence, strong=c.strongGravityMode)
+        repel = lambda d, m, cell: c.scalingRatio * m * cell / d
+        return _forces(
+            graph, n, pull, repel, c.gravity, stop, jitter=c.jitterTolerance, weight=c.edgeWeightInfluence, strong=c.strongGravityMode,
+            theta=c.barnesHutTheta, tree=c.barnesHutOptimize, by_source=c.outboundAttractionDistribution, sizes=c.adjustSizes,
+        )
     k = c.optimalDistance
-    return _forces(graph, n, lambda d: d * d / k, lambda d, m, cell: c.relativeStrength * k * k * cell / d, 0.0, lambda i: c.initialStep * c.stepRatio**i, stop, mass=1.0)
+    return _forces(graph, n, lambda d: d * d / k, lambda d, m, cell: c.relativeStrength * k * k * cell / d, 0.0, stop, cool=lambda i: c.initialStep * c.stepRatio**i, mass=1.0, theta=c.barnesHutTheta)
 
 
 class LayoutJob:
@@ -276,4 +377,4 @@ def settings_of(algorithm: str, properties: dict | None = None) -> dict:
     return asdict(_configured(find_layout(algorithm), properties))
 
 
-__all__ = ["GRID", "LAYOUTS", "LayoutJob", "available_layouts", "find_layout", "layout_properties", "run_layout", "settings_of"]
+__all__ = ["EXACT_NODES", "LAYOUTS", "LayoutJob", "available_layouts", "find_layout", "layout_properties", "run_layout", "settings_of"]

@@ -459,17 +459,17 @@ def _by_forces(spark: SparkSession, sf_dir: str, algorithm: str, rounds: int, **
 
 @query(_STARS)
 def forceatlas2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_forces(spark, sf_dir, "ForceAtlas 2", 25, scalingRatio=10)
+    return _by_forces(spark, sf_dir, "ForceAtlas 2", 15, scalingRatio=10)
 
 
 @query(_STARS)
 def fruchterman_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_forces(spark, sf_dir, "Fruchterman Reingold", 25)
+    return _by_forces(spark, sf_dir, "Fruchterman Reingold", 15)
 
 
 @query(_STARS)
 def yifan_hu_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_forces(spark, sf_dir, "Yifan Hu", 30)
+    return _by_forces(spark, sf_dir, "Yifan Hu", 20)
 
 
 @query(_trade("", "SELECT count(*) AS nodes, TRUE AS inside, TRUE AS repeatable, count(*) AS places FROM n"))
@@ -488,8 +488,8 @@ def _overlaps(g: Graph, reach) -> int:
 
 def _apart(spark: SparkSession, sf_dir: str, algorithm: str, reach) -> DataFrame:
     """The 25 nations, closer together than they are wide, before and after."""
-    g = L.run_layout(trade(spark, sf_dir), "random", properties={"size": 120}).checkpoint()
-    after = L.run_layout(g, algorithm, 40)
+    g = L.run_layout(trade(spark, sf_dir), "random", properties={"size": 200}).checkpoint()
+    after = L.run_layout(g, algorithm, 25)
     return _rows(spark, [(_overlaps(g, reach) > 0, _overlaps(after, reach))], "overlapped boolean, overlaps int")
 
 
