@@ -174,6 +174,31 @@ class PrefixTokenizer:
                     total += count_word(word) if n is None else n
         return total
 
+    def fit(self, text: str, limit: int) -> int:
+        """The most characters that a prefix of at most ``limit`` tokens can have.
+
+        The counts at word ends lead to the words around the limit; only there every prefix's count is needed.  A word that
+        follows no white space begins anew whatever comes after it.
+        """
+        words, done = [(0, 0)], 0  # where words begin, with the tokens before them
+        for start, end, special in self.segments(text):
+            if special:
+                done += 1
+                words.append((end, done))
+            else:
+                for m in self.pattern.finditer(text[start:end]):
+                    done += self.count_word(m.group())
+                    words.append((start + m.end(), done))
+                    if done > limit:
+                        break
+            if done > limit:
+                break
+        k = max(0, len(words) - 6)
+        while k and _SPACES.match(text[words[k][0] - 1]):
+            k -= 1
+        at, before = words[k]
+        return at + self.index(text[at:], limit - before).fit(limit - before)
+
     def char_counts(self, word: str) -> list[int]:
         """Token counts of the prefixes of a word by characters."""
         known = self.grids.get(word)
@@ -277,7 +302,7 @@ def token_counts(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                 n = tokenizer.count(text)
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(n)
-                fits.append(len(text) if n <= limit else tokenizer.index(text, limit).fit(limit))
+                fits.append(len(text) if n <= limit else tokenizer.fit(text, limit))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(fits, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"],

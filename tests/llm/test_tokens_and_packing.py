@@ -38,7 +38,7 @@ def test_every_prefix(library):
     for text in samples:
         index = tokenizer.index(text)
         for budget in (0, 1, 5, 17):
-            assert tokenizer.index(text, budget).fit(budget) == index.fit(budget) == max(c for c in range(len(text) + 1) if index.count(c) <= budget)
+            assert tokenizer.fit(text, budget) == tokenizer.index(text, budget).fit(budget) == index.fit(budget) == max(c for c in range(len(text) + 1) if index.count(c) <= budget)
         assert index.total() == len(ids(library, text))
         for cut in range(len(text) + 1):
             assert index.count(cut) == len(ids(library, text[:cut])), (text, cut)
