@@ -161,13 +161,13 @@ def import_pajek_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pajek(spark, sf_dir).edges.select("source", "target", "weight")
 
 
-@query(_trade("", "SELECT 'circle' AS shape, count(*) AS n FROM n UNION ALL SELECT 'path', count(*) FROM e UNION ALL SELECT 'text', count(*) FROM n"))
+@query(_trade("", "SELECT 'circle' AS shape, count(*) AS n FROM n UNION ALL SELECT 'path', count(*) FROM e UNION ALL SELECT 'polygon', count(*) FROM e UNION ALL SELECT 'text', count(*) FROM n UNION ALL SELECT 'Q', count(*) FROM e UNION ALL SELECT 'Courier New', count(*) FROM n UNION ALL SELECT '#123456', count(*) FROM n UNION ALL SELECT 'rect', count(*) + 1 FROM n"))
 def export_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _session(spark, sf_dir)
-    _do(s, "set_preview_settings", **{"node.label.show": True, "edge.curved": False})
+    _do(s, "set_preview_settings", **{"node.label.show": True, "edge.curved": True, "node.label.font": "Courier New 9 Bold", "node.border.color": "#123456", "node.label.box": True, "arrow.size": 2})
     path = f"{shared_path(spark)}.svg"
     _do(s, "export_svg", file=path)
-    shapes = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"<(circle|path|text)\b"), F.lit(1))).alias("shape"))
+    shapes = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?:<(?=(?:circle|path|polygon|text|rect) )|(?= Q )|(?=Courier New|#123456)) ?([a-zQ]+|Courier New|#123456)"), F.lit(1))).alias("shape"))
     return shapes.groupBy("shape").agg(F.count("*").alias("n"))
 
 
@@ -196,7 +196,7 @@ def export_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     _do(s, "set_preview_settings", **{"edge.curved": False})
     raw = _file(s, "export_pdf")
     body = zlib.decompress(re.search(rb"stream\n(.*?)\nendstream", raw, re.S)[1]).decode()
-    return _rows(spark, [(raw[1:8].decode(), len(re.findall(r" f$", body, re.M)), len(re.findall(r" l S$", body, re.M)))], "kind string, nodes long, edges long")
+    return _rows(spark, [(raw[1:8].decode(), len(re.findall(r" c [fB]$", body, re.M)), len(re.findall(r" l S$", body, re.M)))], "kind string, nodes long, edges long")
 
 
 @query(_trade("", "SELECT id, label, r_name, 2 AS workspaces, 'trade' AS project FROM n"))
