@@ -8,7 +8,8 @@
    unique has no partner; that ends the search for most documents.
 3. The others deal out their remaining first elements.  Documents that share one are candidates; the
    candidates' connected components hold all links, as each link is a candidate pair.
-4. Each component is searched by a signature tree over its whole sets: nodes hold the OR of their
+4. Components are only the routing: partitions hold many whole ones, and are joined with themselves by signature trees over
+   the whole sets of all their documents.  Nodes hold the OR of their
    members' token bitmaps and their size range, pairs of nodes are traversed together and pruned when
    the greatest overlap that bitmaps and sizes allow is too small, or when all members of both are known
    to be connected.  What is left is compared exactly.  A component of more than ``max_group`` documents
@@ -212,57 +213,68 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+_CHUNK = 2048  # pairs whose bitmaps are compared at once
+
+
 def linked_labels(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None = None) -> np.ndarray:
     """A label for each set, equal for sets connected by links; ``labels`` are those known before.
 
-    The pairs of nodes are visited nearest first.  Pairs within what is connected already are skipped.
+    The tree is traversed against itself, all pairs of nodes of a level at once.  Pairs within what is connected already are skipped.
     """
     tree = SignatureTree(sets)
     label = np.arange(len(sets)) if labels is None else labels[tree.order].copy()
-    sizes, bits, double, levels, fan = tree.sizes, tree.bits, tree.double, tree.levels, tree.fan
-
-    def compare(i: int, js: np.ndarray) -> None:
-        js = js[label[js] != label[i]]
-        js = js[den * np.minimum(sizes[js], sizes[i]) >= num * np.maximum(sizes[js], sizes[i])]
-        if len(js):
-            bound = _overlap(bits[i], bits[js], double[i], double[js], sizes[i], sizes[js])
-            js = js[den * bound >= num * (sizes[i] + sizes[js] - bound)]
-        for j in js.tolist():
+    sizes, levels, fan = tree.sizes, tree.levels, tree.fan
+
+    def possible(a, b, low, high, most, bits) -> np.ndarray:
+        """Which pairs of nodes may have members with a link."""
+        ok = den * np.minimum(high[a], high[b]) >= num * np.maximum(low[a], low[b])
+        live = np.flatnonzero(ok & (a != b))
+        for k in range(0, len(live), _CHUNK):
+            at = live[k : k + _CHUNK]
+            x, y = a[at], b[at]
+            bound = _overlap(bits[x], bits[y], most[x], most[y], high[x], high[y])
+            ok[at] = den * bound >= num * (low[x] + low[y] - bound)
+        return ok
+
+    def compare(a, b) -> None:
+        ok = label[a] != label[b]
+        a, b = a[ok], b[ok]
+        ok = possible(a, b, sizes, sizes, tree.double, tree.bits)
+        for i, j in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
             if label[j] != label[i]:
                 both = intersection(tree.sets[i], tree.sets[j])
                 if den * both >= num * (len(tree.sets[i]) + len(tree.sets[j]) - both):
                     label[label == label[j]] = label[i]
 
-    for i in range(1, len(sets)):  # neighbours in the order of the tree
-        compare(i, np.array([i - 1]))
-    stack = [(len(levels) - 1, 0, 0)]
-    while stack:
-        depth, a, b = stack.pop()
-        bounds, low, high, most, signature = levels[depth]
-        a0, a1, b0, b1 = bounds[a], bounds[a + 1], bounds[b], bounds[b + 1]
-        if den * high[a] < num * low[b]:
-            continue
-        if a != b:
-            bound = _overlap(signature[a], signature[b], most[a], most[b], high[a], high[b])
-            if den * bound < num * (low[a] + low[b] - bound):
-                continue
-        known = label[a0]
-        if (label[a0:a1] == known).all() and (label[b0:b1] == known).all():
-            continue
-        if depth:
-            under = len(levels[depth - 1][0]) - 1
-            xs, ys = range(a * fan, min((a + 1) * fan, under)), range(b * fan, min((b + 1) * fan, under))
-            stack += [(depth - 1, x, y) for y in reversed(ys) for x in xs if a != b or x <= y]
-        else:
-            for i in range(a0, a1):
-                compare(i, np.arange(max(b0, i + 1), b1))
+    at = np.arange(1, len(sets))
+    compare(at - 1, at)  # neighbours in the order of the tree
+    a = b = np.zeros(1, np.int64)
+    for depth in range(len(levels) - 1, -1, -1):
+        bounds, low, high, most, bits = levels[depth]
+        starts = np.array(bounds[:-1])
+        one, other = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
+        ok = ~((one[a] == other[a]) & (one[b] == other[b]) & (one[a] == one[b]))
+        a, b = a[ok], b[ok]
+        ok = possible(a, b, low, high, most, bits)
+        a, b = a[ok], b[ok]
+        # Parts of both nodes: nodes of the level below, or members.
+        first, last = (starts, np.array(bounds[1:])) if not depth else (np.arange(len(low)) * fan, np.minimum((np.arange(len(low)) + 1) * fan, len(levels[depth - 1][1])))
+        wide = int((last - first).max())
+        x, y = (g.ravel() for g in np.meshgrid(np.arange(wide), np.arange(wide), indexing="ij"))
+        left, right = first[a][:, None] + x, first[b][:, None] + y
+        ok = (left < last[a][:, None]) & (right < last[b][:, None]) & ((left < right) if not depth else (left <= right))
+        a, b = left[ok], right[ok]
+    compare(a, b)
     out = np.empty_like(label)
     out[tree.order] = label
     return out
 
 
-def _verify(num: int, den: int):
-    """Labels of the groups of rows (key, part, doc, label, elements), sorted by key and part; the label is the smallest document that one of the same connected documents had."""
+def _verify(num: int, den: int, most_rows: int = 512, most_bytes: int = 16 << 20):
+    """Labels of the rows (key, part, doc, label, elements) of a partition, sorted by key and part; the label is the smallest document that one of the same connected documents had.
+
+    A tree holds whole groups, as many as come together to ``most_rows`` documents or ``most_bytes``, and is joined with itself.
+    """
 
     def solve(rows):
         docs = np.array([r[0] for r in rows])
@@ -277,15 +289,17 @@ def _verify(num: int, den: int):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.concatenate((least[inverse], least[inverse])))], names=["a", "b"])
 
     def run(batches):
-        key, rows = None, []
+        key, rows, size = None, [], 0
         for batch in batches:
             for k, part, doc, label, elements in zip(*batch.columns, strict=True):
                 at = (k.as_py(), part.as_py())
                 if at != key:
-                    if rows:
+                    if len(rows) >= most_rows or size >= most_bytes:
                         yield solve(rows)
-                    key, rows = at, []
+                        rows, size = [], 0
+                    key = at
                 rows.append((doc.as_py(), label.as_py(), elements.as_py()))
+                size += len(rows[-1][2])
         if rows:
             yield solve(rows)
 
