@@ -43,15 +43,16 @@ def pagerank(graph: Graph, damping: float = 0.85, rounds: int = 100, tolerance:
     out = links.groupBy("s").agg(F.count("*").alias("d"))
     links = durable(links.join(out, "s").select("s", "t", "d"))
     ids = durable(graph.nodes.select("id").join(out.select(F.col("s").alias("id"), "d"), "id", "left"))
-    n = ids.count()
+    n, loose = ids.agg(F.count("*"), F.count_if(F.isnull("d"))).first()
+    lost = loose / n if n else 0.0
     rank = ids.select("id", "d", F.lit(1.0 / n if n else 0.0).alias("r"))
     for _ in range(rounds if n else 0):
-        lost = rank.where("d IS NULL").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         given = links.join(rank.select(F.col("id").alias("s"), "r"), "s").groupBy("t").agg(F.sum(F.col("r") / F.col("d")).alias("x"))
         new = F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("x", F.lit(0.0))
         moved = durable(rank.join(given, F.col("id") == F.col("t"), "left").select("id", "d", new.alias("r"), F.abs(new - F.col("r")).alias("delta")))
         rank = moved.drop("delta")
-        if tolerance and moved.agg(F.sum("delta")).first()[0] < tolerance:
+        delta, lost = moved.agg(F.sum("delta"), F.coalesce(F.sum(F.when(F.isnull("d"), F.col("r"))), F.lit(0.0))).first()
+        if tolerance and delta < tolerance:
             break
     return rank.select("id", F.col("r").alias("pageranks"))
 
@@ -63,16 +64,19 @@ def compute_pagerank(graph: Graph, **options) -> tuple[Graph, dict]:
 def hits(graph: Graph, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """(id, Authority, Hub), normalised to length 1 in each round (Kleinberg 1999)."""
     links = durable(flow(graph))
-    now = graph.nodes.select("id", F.lit(1.0).alias("h"), F.lit(1.0).alias("a"))
+    now = graph.nodes.select("id", F.lit(1.0).alias("h"), F.lit(1.0).alias("a"), F.lit(None).cast("double").alias("a0"))
     for _ in range(rounds):
         a = links.join(now.select(F.col("id").alias("s"), "h"), "s").groupBy("t").agg(F.sum("h").alias("a"))
         h = links.join(a, "t").groupBy("s").agg(F.sum("a").alias("h"))
-        both = now.select("id", F.col("a").alias("a0")).join(a.select(F.col("t").alias("id"), "a"), "id", "left").join(h.select(F.col("s").alias("id"), "h"), "id", "left")
-        both = durable(both.select("id", "a0", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h")))
-        na, nh = (x or 1.0 for x in both.agg(F.sqrt(F.sum(F.col("a") ** 2)), F.sqrt(F.sum(F.col("h") ** 2))).first())
-        now = both.select("id", (F.col("h") / nh).alias("h"), (F.col("a") / na).alias("a"), F.abs(F.col("a") / na - F.col("a0")).alias("delta"))
-        if tolerance and (now.agg(F.sum("delta")).first()[0] or 0.0) < tolerance:
+        both = now.select("id", F.col("h").alias("h0"), F.col("a").alias("a0"), F.col("a0").alias("a00"))
+        both = both.join(a.select(F.col("t").alias("id"), "a"), "id", "left").join(h.select(F.col("s").alias("id"), "h"), "id", "left")
+        both = durable(both.select("id", "h0", "a0", "a00", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("h", F.lit(0.0)).alias("h")))
+        na, nh, delta = both.agg(F.sqrt(F.sum(F.col("a") ** 2)), F.sqrt(F.sum(F.col("h") ** 2)), F.sum(F.abs(F.col("a0") - F.col("a00")))).first()
+        if na is None:
             break
+        if tolerance and delta is not None and delta < tolerance:  # the round before was the last one needed: one pass finds lengths and that
+            return both.select("id", F.col("a0").alias("Authority"), F.col("h0").alias("Hub"))
+        now = both.select("id", (F.col("h") / (nh or 1.0)).alias("h"), (F.col("a") / (na or 1.0)).alias("a"), "a0")
     return now.select("id", F.col("a").alias("Authority"), F.col("h").alias("Hub"))
 
 
@@ -83,14 +87,17 @@ def compute_hits(graph: Graph, **options) -> tuple[Graph, dict]:
 def eigenvector(graph: Graph, rounds: int = 100, shift: float = 1.0, tolerance: float = 1e-10) -> DataFrame:
     """(id, eigencentrality): power iteration on in-edges plus ``shift`` times the node itself, scaled to a greatest value of 1 (Bonacich 1972)."""
     links = durable(flow(graph))
-    now = graph.nodes.select("id", F.lit(1.0).alias("v"))
+    now = graph.nodes.select("id", F.lit(1.0).alias("v"), F.lit(None).cast("double").alias("old"))
     for _ in range(rounds):
         got = links.join(now.select(F.col("id").alias("s"), "v"), "s").groupBy("t").agg(F.sum("v").alias("x"))
-        raw = durable(now.join(got, F.col("id") == F.col("t"), "left").select("id", F.col("v").alias("old"), (F.lit(shift) * F.col("v") + F.coalesce("x", F.lit(0.0))).alias("v")))
-        top = raw.agg(F.max("v")).first()[0] or 1.0
-        now = raw.select("id", (F.col("v") / top).alias("v"))
-        if tolerance and (raw.agg(F.max(F.abs(F.col("v") / top - F.col("old")))).first()[0] or 0.0) < tolerance:
+        value = (F.lit(shift) * F.col("v") + F.coalesce("x", F.lit(0.0))).alias("v")
+        raw = durable(now.join(got, F.col("id") == F.col("t"), "left").select("id", F.col("v").alias("old"), F.col("old").alias("older"), value))
+        top, delta = raw.agg(F.max("v"), F.max(F.abs(F.col("old") - F.col("older")))).first()
+        if top is None:
             break
+        if tolerance and delta is not None and delta < tolerance:  # as in hits
+            return raw.select("id", F.col("old").alias("eigencentrality"))
+        now = raw.select("id", (F.col("v") / (top or 1.0)).alias("v"), "old")
     return now.select("id", F.col("v").alias("eigencentrality"))
 
 

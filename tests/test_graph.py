@@ -89,6 +89,33 @@ def test_hits_and_eigenvector_have_their_ranges(spark):
     assert max(values(S.eigenvector(g, rounds=5), "eigencentrality").values()) == 1
 
 
+def test_iterations_end_at_their_tolerance(spark):
+    """A tolerance ends them with the first round that moves less, as plain loops do."""
+    g = graph(spark, "k4")
+    links = [(r.source, r.target) for r in g.edges.collect()]
+    v = dict.fromkeys("abcd", 1.0)
+    for _ in range(100):
+        raw = {i: v[i] + sum(v[s] for s, t in links if t == i) for i in v}
+        new = {i: x / max(raw.values()) for i, x in raw.items()}
+        moved, v = max(abs(new[i] - v[i]) for i in v), new
+        if moved < 0.05:
+            break
+    assert values(S.eigenvector(g, tolerance=0.05), "eigencentrality") == pytest.approx(v)
+    h, a = dict.fromkeys("abcd", 1.0), dict.fromkeys("abcd", 1.0)
+    for _ in range(100):
+        a1 = {i: sum(h[s] for s, t in links if t == i) for i in h}
+        h1 = {i: sum(a1[t] for s, t in links if s == i) for i in h}
+        na, nh = (sum(x * x for x in d.values()) ** 0.5 for d in (a1, h1))
+        moved = sum(abs(a1[i] / na - a[i]) for i in a)
+        h, a = {i: x / nh for i, x in h1.items()}, {i: x / na for i, x in a1.items()}
+        if moved < 0.01:
+            break
+    got = S.hits(g, tolerance=0.01).collect()
+    assert {r.id: r.Authority for r in got} == pytest.approx(a) and {r.id: r.Hub for r in got} == pytest.approx(h)
+    nothing = Graph(g.nodes.limit(0), g.edges.limit(0))
+    assert [f(nothing).count() for f in (S.pagerank, S.hits, S.eigenvector)] == [0, 0, 0]
+
+
 def test_edits(spark):
     g = graph(spark, "path4")
     g, counts = E.add_nodes(g, [{"id": "x"}, {"id": "x", "label": "again"}, {"id": "a"}, {"id": None}, {"id": "y", "label": None, "attributes": {"k": 1}}])
