@@ -231,60 +231,31 @@ def eigen_20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = """
-e2 AS (SELECT s, t FROM e WHERE w >= 3), n2 AS (SELECT s AS id FROM e2 UNION SELECT t FROM e2),
-u2 AS (SELECT s, t FROM e2 UNION SELECT t, s FROM e2), k AS (SELECT count(*) AS k FROM n2),
-b(src, id, d, sg) USING KEY (src, id) AS (SELECT DISTINCT s, s, 0, 1::DOUBLE FROM u2 UNION
-  SELECT b.src, u2.t, b.d + 1, sum(b.sg) FROM b JOIN u2 ON u2.s = b.id
-  LEFT JOIN recurring.b r ON r.id = u2.t AND r.src = b.src WHERE r.id IS NULL GROUP BY 1, 2, 3)"""
-
-
-def _strong(spark: SparkSession, sf_dir: str) -> Graph:
-    """The small graph of parts bought together three times."""
-    return FI.remove_isolates(FI.filter_by_edge_weight(copurchase(spark, sf_dir), 3)).checkpoint()
+k AS (SELECT count(*) AS k FROM n),
+b(src, id, d, sg) USING KEY (src, id) AS (SELECT id, id, 0, 1::DOUBLE FROM n UNION
+  SELECT b.src, u.t, b.d + 1, sum(b.sg) FROM b JOIN u ON u.s = b.id
+  LEFT JOIN recurring.b r ON r.id = u.t AND r.src = b.src WHERE r.id IS NULL GROUP BY 1, 2, 3)"""
 
 
 @query(_copurchase(_PAIRS + """,
-bt AS (SELECT v.id, sum(v.sg * w.sg / st.sg) / 2 AS bc FROM b v JOIN b w ON w.src = v.id JOIN b st ON st.src = v.src AND st.id = w.id AND st.d = v.d + w.d
-       WHERE v.id <> v.src AND w.id <> v.id AND st.src <> st.id GROUP BY 1)""", """
-SELECT CAST(n2.id AS VARCHAR) AS id, round(coalesce(bc, 0) / ((k - 1.0) * (k - 2.0) / 2), 9) AS betweenesscentrality FROM n2 CROSS JOIN k LEFT JOIN bt ON bt.id = n2.id""", True))
+back(src, id, d, sg, delta) AS (SELECT src, id, d, sg, 0::DOUBLE FROM b WHERE d = (SELECT max(d) FROM b) UNION ALL
+  SELECT v.src, v.id, v.d, v.sg, coalesce(sum(v.sg / f.sg * (1 + f.delta)), 0) FROM b v JOIN (SELECT max(d) - 1 AS d FROM back) x ON v.d = x.d
+  LEFT JOIN (SELECT back.src, u.t AS id, back.sg, back.delta FROM back JOIN u ON u.s = back.id) f ON f.src = v.src AND f.id = v.id GROUP BY 1, 2, 3, 4)""", """
+SELECT CAST(id AS VARCHAR) AS id, round(sum(CASE WHEN d > 0 THEN delta ELSE 0 END) / 2 / ((max(k) - 1.0) * (max(k) - 2.0) / 2), 9) AS betweenesscentrality FROM back CROSS JOIN k GROUP BY id""", True))
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.distances(_strong(spark, sf_dir))[0].select("id", F.round("betweenesscentrality", 9).alias("betweenesscentrality"))
+    return S.distances(copurchase(spark, sf_dir).checkpoint())[0].select("id", F.round("betweenesscentrality", 9).alias("betweenesscentrality"))
 
 
 @query(_copurchase(_PAIRS, """SELECT CAST(src AS VARCHAR) AS id, round(count(*) / sum(d)::DOUBLE, 9) AS closnesscentrality, round(sum(1.0::DOUBLE / d) / (max(k) - 1), 9) AS harmonicclosnesscentrality,
 CAST(max(d) AS DOUBLE) AS eccentricity FROM b CROSS JOIN k WHERE d > 0 GROUP BY src""", True))
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.distances(_strong(spark, sf_dir))[0]
+    d = S.distances(copurchase(spark, sf_dir).checkpoint())[0]
     return d.select("id", F.round("closnesscentrality", 9).alias("closnesscentrality"), F.round("harmonicclosnesscentrality", 9).alias("harmonicclosnesscentrality"), "eccentricity")
 
 
 @query(_copurchase(_PAIRS, """SELECT round(sum(d) / count(*)::DOUBLE, 9) AS average_path_length, CAST(max(d) AS BIGINT) AS diameter,
 (SELECT CAST(min(m) AS BIGINT) FROM (SELECT max(d) AS m FROM b WHERE d > 0 GROUP BY src)) AS radius FROM b WHERE d > 0""", True))
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scalars = S.distances(_strong(spark, sf_dir))[1]
-    return spark.createDataFrame([(round(scalars["average_path_length"], 9), scalars["diameter"], scalars["radius"])], "average_path_length double, diameter long, radius long")
-
-
-
-_ALL_PAIRS = _PAIRS.replace("FROM e WHERE w >= 3", "FROM e")
-
-
-@query()
-def betweenness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the whole graph; its SQL would join all pairs with all nodes between them, so tests compare with brute force."""
-    return S.distances(copurchase(spark, sf_dir).checkpoint())[0].select("id", F.round("betweenesscentrality", 9).alias("betweenesscentrality"))
-
-
-@query(_copurchase(_ALL_PAIRS, """SELECT CAST(src AS VARCHAR) AS id, round(count(*) / sum(d)::DOUBLE, 9) AS closnesscentrality, round(sum(1.0::DOUBLE / d) / (max(k) - 1), 9) AS harmonicclosnesscentrality,
-CAST(max(d) AS DOUBLE) AS eccentricity FROM b CROSS JOIN k WHERE d > 0 GROUP BY src""", True))
-def closeness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.distances(copurchase(spark, sf_dir).checkpoint())[0]
-    return d.select("id", F.round("closnesscentrality", 9).alias("closnesscentrality"), F.round("harmonicclosnesscentrality", 9).alias("harmonicclosnesscentrality"), "eccentricity")
-
-
-@query(_copurchase(_ALL_PAIRS, """SELECT round(sum(d) / count(*)::DOUBLE, 9) AS average_path_length, CAST(max(d) AS BIGINT) AS diameter,
-(SELECT CAST(min(m) AS BIGINT) FROM (SELECT max(d) AS m FROM b WHERE d > 0 GROUP BY src)) AS radius FROM b WHERE d > 0""", True))
-def path_length_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     scalars = S.distances(copurchase(spark, sf_dir).checkpoint())[1]
     return spark.createDataFrame([(round(scalars["average_path_length"], 9), scalars["diameter"], scalars["radius"])], "average_path_length double, diameter long, radius long")
 

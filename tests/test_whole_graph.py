@@ -51,12 +51,12 @@ def test_distances_of_all_edges(spark, folder):
         for v in found:
             if t in ds and v in ds and v not in (s, t) and ds[v] + dt[v] == ds[t]:
                 between[v] += ps[v] * pt[v] / ps[t]
-    got = {int(r.id): r.betweenesscentrality for r in Q.QUERIES["betweenness_all"](spark, folder).collect()}
+    got = {int(r.id): r.betweenesscentrality for r in Q.QUERIES["betweenness"](spark, folder).collect()}
     assert got == {v: pytest.approx(x / ((n - 1) * (n - 2) / 2), abs=1e-8) for v, x in between.items()}
-    close = {int(r.id): (r.closnesscentrality, r.harmonicclosnesscentrality, r.eccentricity) for r in Q.QUERIES["closeness_all"](spark, folder).collect()}
+    close = {int(r.id): (r.closnesscentrality, r.harmonicclosnesscentrality, r.eccentricity) for r in Q.QUERIES["closeness"](spark, folder).collect()}
     far = {v: [d for d in dist.values() if d] for v, (dist, _) in found.items()}
     assert close == {v: pytest.approx((len(d) / sum(d), sum(1 / x for x in d) / (n - 1), max(d)), abs=1e-8) for v, d in far.items()}
-    row = Q.QUERIES["path_length_all"](spark, folder).first()
+    row = Q.QUERIES["path_length"](spark, folder).first()
     every = [d for x in far.values() for d in x]
     assert (row.average_path_length, row.diameter, row.radius) == (pytest.approx(sum(every) / len(every), abs=1e-8), max(every), min(max(d) for d in far.values()))
 
