@@ -133,7 +133,7 @@ def dropped_lines(rows: DataFrame, *, min_chars: int = 20, min_docs: int = 3) ->
     """(doc, pos) of the lines to drop from ``rows`` (doc, text), where ``doc`` is a long that differs in all rows."""
     bounded(rows)
     spark = rows.sparkSession
-    hashes = line_hashes(rows, min_chars)
+    hashes = materialize(line_hashes(rows, min_chars), "hashes")  # dealing by range reads its input twice, first for the bounds
     order = ["h1", "h2", F.col("doc").desc()]
     dealt = hashes.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     streamed = materialize(dealt.mapInArrow(_stream(min_docs), _STREAMED), "lines")
