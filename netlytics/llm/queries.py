@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontamination, jaccard_join, line_dedup, line_rules, packing, quality, quotes, repeats, token_counts
+from . import archives, decontamination, jaccard_join, line_dedup, line_rules, packing, prefix_trie, quality, quotes, repeats, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.encode_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.graft_heads(turns, every=20, heads=4))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -155,4 +160,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""",
+    "op13_prefix_trie": r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS steps FROM (SELECT unnest(range(256)) AS i)),
+ordered AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) % 4 AS h
+  FROM ordered, crc_table),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1 : c.h], []), c.turns[c.h + 1 :]) AS turns
+  FROM hashed c LEFT JOIN ordered b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, len(turns) AS n, d, turns[1 : d] AS prefix, CASE WHEN d = 0 THEN '' ELSE turns[d].text END AS last
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+members AS (SELECT conv_id, n, d, last, min(conv_id) OVER (PARTITION BY d, prefix) AS node FROM prefixes),
+nodes AS (
+  SELECT node, d, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(min(last), '[^\x20\x09-\x0D]+')) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM members GROUP BY node, d),
+linked AS (SELECT x.*, m.node AS parent FROM nodes x LEFT JOIN members m ON m.conv_id = x.node AND m.d = x.d - 1),
+children AS (SELECT parent AS node, d - 1 AS d, count(*) AS k FROM linked WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT l.*, coalesce(k, 0) AS k FROM linked l LEFT JOIN children USING (node, d)),
+subtrees AS (
+  SELECT m.node, m.d, count(*) FILTER (WHERE x.k = 0) AS leaves, sum(x.saved) AS saved
+  FROM counted x JOIN members m ON m.conv_id = x.node AND m.d <= x.d GROUP BY ALL)
+SELECT c.node AS conv_id, CAST(c.d AS BIGINT) AS depth, c.parent AS parent_conv_id, c.n_convs, c.k AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s USING (node, d)""",
 }
