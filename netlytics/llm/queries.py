@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, decontamination, jaccard_join, line_dedup, line_rules, packing, prefix_trie, quality, quotes, repeats, spelling, token_counts
+from . import archives, decontamination, jaccard_join, line_dedup, line_rules, packing, prefix_trie, quality, quotes, repeats, spelling, token_counts, vector_graph
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_copies(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(_table(spark, sf_dir, "documents"), drop_every=97, min_chars=5, min_count=3)
     return spelling.group_variants(words, ratio=2)
@@ -82,7 +86,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.graft_heads(turns, every=20, heads=4))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup, op12_spelling, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality, op4_jaccard_join, op5_quotes, op5_reply_order, op6_warc, op7_line_rules, op8_packing, op9_decontamination, op10_suffix_dedup, op11_vector_graph, op12_spelling, op13_prefix_trie)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -165,6 +169,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)""",
+    "op11_vector_graph": r"""
+WITH RECURSIVE valid AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = r.vec_id) AS n_links, min(other) AS component_id, min(other) = vec_id AS kept
+FROM reached r GROUP BY vec_id""",
     "op12_spelling": r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS steps FROM (SELECT unnest(range(256)) AS i)),
