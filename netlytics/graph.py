@@ -102,17 +102,28 @@ def _with_defaults(df: DataFrame, defaults: dict, builtin: tuple) -> DataFrame:
     return df.select(*builtin, *[c for c in df.columns if c not in builtin])
 
 
+def _grey() -> dict:
+    return {c: F.lit(153) for c in "rgb"} | {"a": F.lit(255)}
+
+
+def node_defaults() -> dict:
+    """What a node has that says nothing but its id."""
+    return {"label": F.col("id"), "x": start_position(F.col("id"), "x"), "y": start_position(F.col("id"), "y"), "size": F.lit(10.0).cast("float")} | _grey()
+
+
+def edge_defaults() -> dict:
+    return {"weight": F.lit(1.0)} | _grey()
+
+
 def node_frame(df: DataFrame) -> DataFrame:
     """Any DataFrame with ``id`` (and ``seq``) as a node table with the default looks."""
-    null_int = F.lit(153)
-    defaults = {"label": F.col("id"), "x": start_position(F.col("id"), "x"), "y": start_position(F.col("id"), "y"), "size": F.lit(10.0).cast("float"), "r": null_int, "g": null_int, "b": null_int, "a": F.lit(255)}
-    return _with_defaults(df, defaults, NODE_BUILTIN)
+    return _with_defaults(df, node_defaults(), NODE_BUILTIN)
 
 
 def edge_frame(df: DataFrame) -> DataFrame:
     """Any DataFrame with ``source`` and ``target`` (and ``seq``) as an edge table."""
     directed = F.col("directed") if "directed" in df.columns else F.lit(True)
-    defaults = {"directed": F.lit(True), "type": F.when(directed, 1).otherwise(0), "weight": F.lit(1.0), "label": F.lit(None).cast("string"), "r": F.lit(153), "g": F.lit(153), "b": F.lit(153), "a": F.lit(255)}
+    defaults = {"directed": F.lit(True), "type": F.when(directed, 1).otherwise(0), "label": F.lit(None).cast("string")} | edge_defaults()
     return _with_defaults(df, defaults, EDGE_BUILTIN)
 
 

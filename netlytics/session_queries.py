@@ -103,18 +103,70 @@ def import_graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(spark, sf_dir, "export_graphml", "import_file", "graphml").edges.select("source", "target", "weight")
 
 
-def _imported(spark: SparkSession, sf_dir: str, ending: str, head: str, node, middle: str, edge, tail: str) -> Graph:
-    """A text file of the trade graph, imported by its ending."""
+def _imported(spark: SparkSession, sf_dir: str, ending: str, head: str, node, middle: str, edge, tail: str, keep: str = "true") -> Graph:
+    """A text file of the trade graph (of the edges to keep), imported by its ending."""
     g = trade(spark, sf_dir)
     path = f"{shared_path(spark)}.{ending}"
     fixed = _rows(spark, [(0, 0, head), (2, 0, middle), (4, 0, tail)], "block int, seq long, line string").where("line <> ''")
-    lines = fixed.unionByName(g.nodes.select(F.lit(1).alias("block"), "seq", node.alias("line"))).unionByName(g.edges.select(F.lit(3).alias("block"), "seq", edge.alias("line")))
+    lines = fixed.unionByName(g.nodes.select(F.lit(1).alias("block"), "seq", node.alias("line"))).unionByName(g.edges.where(keep).select(F.lit(3).alias("block"), "seq", edge.alias("line")))
     lines.orderBy("block", "seq").coalesce(1).sortWithinPartitions("block", "seq").select("line").write.text(path)
     s = Session(spark)
     _do(s, "import_file", file=path)
     return s.graph
 
 
+_OFTEN = "SELECT s AS source, t AS target, {} AS directed, {} AS weight FROM e"
+
+
+def _gexf(spark: SparkSession, sf_dir: str, default: str, keep: str = "true") -> Graph:
+    """The trade graph as GEXF: edges of weight over 100 say their type, the others have the graph's; nodes of one region leave their region to the attribute's default."""
+    head = f'''<gexf xmlns="http://gexf.net/1.3">
+<graph mode="static"
+  {default}>
+<attributes class="node"><attribute id="0" title="r_name" type="string"><default>ASIA</default></attribute><attribute id="1" title="rank" type="integer"><default>7</default></attribute></attributes><nodes>'''
+    value = F.when(F.col("r_name") != "ASIA", F.concat(F.lit('<attvalues><attvalue for="0" value="'), "r_name", F.lit('"/></attvalues>'))).otherwise("")
+    node = F.concat(F.lit('<node id="'), "id", F.lit('">'), value, F.lit("</node>"))
+    kind = F.when(F.col("weight") > 100, F.lit(' type="undirected"')).otherwise("")
+    edge = F.concat(F.lit('<edge source="'), "source", F.lit('" target="'), "target", F.lit('"'), kind, F.lit(' weight="'), F.col("weight").cast("string"), F.lit('"/>'))
+    return _imported(spark, sf_dir, "gexf", head, node, "</nodes><edges>", edge, "</edges></graph></gexf>", keep)
+
+
+@query(_trade("", _OFTEN.format("FALSE", "w")))
+def import_gexf_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gexf(spark, sf_dir, 'defaultedgetype="undirected"').edges.select("source", "target", "directed", "weight")
+
+
+@query(_trade("", _OFTEN.format("w <= 100", "w") + " WHERE s <= t UNION ALL SELECT t, s, TRUE, w FROM e WHERE w <= 100 AND s < t"))
+def import_gexf_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gexf(spark, sf_dir, "defaultedgetype='mutual'", keep="source <= target").edges.select("source", "target", "directed", "weight")
+
+
+@query(_trade("", "SELECT id, id AS label, r_name, 7 AS rank, CAST(10 AS FLOAT) AS size, 153 AS r, TRUE AS placed FROM n"))
+def import_gexf_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gexf(spark, sf_dir, "").nodes.select("id", "label", "r_name", "rank", "size", "r", F.col("x").between(-500, 500).alias("placed"))
+
+
+def _graphml(spark: SparkSession, sf_dir: str, default: str) -> Graph:
+    """The trade graph as GraphML: edges of weight over 100 have a weight and a direction of their own, the others those of the key and the graph."""
+    head = f'''<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="d0" for="edge" attr.name="weight" attr.type="double"><default>7.5</default></key>
+<key id="d1" for="all" attr.name="r_name" attr.type="string"><default>ASIA</default></key><graph id="G" {default}>'''
+    value = F.when(F.col("r_name") != "ASIA", F.concat(F.lit('<data key="d1">'), "r_name", F.lit("</data>"))).otherwise("")
+    node = F.concat(F.lit('<node id="'), "id", F.lit('">'), value, F.lit("</node>"))
+    often = F.col("weight") > 100
+    edge = F.concat(F.lit('<edge source="'), "source", F.lit('" target="'), "target", F.when(often, F.lit('" directed="true"><data key="d0">')).otherwise(F.lit('">')), F.when(often, F.concat(F.col("weight").cast("string"), F.lit("</data>"))).otherwise(""), F.lit("</edge>"))
+    return _imported(spark, sf_dir, "graphml", head, node, "", edge, "</graph></graphml>")
+
+
+@query(_trade("", _OFTEN.format("w > 100", "CASE WHEN w > 100 THEN w ELSE 7.5 END")))
+def import_graphml_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graphml(spark, sf_dir, 'edgedefault="undirected"').edges.select("source", "target", "directed", "weight")
+
+
+@query(_trade("", "SELECT id, id AS label, r_name, CAST(10 AS FLOAT) AS size, TRUE AS placed FROM n"))
+def import_graphml_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graphml(spark, sf_dir, "edgedefault='directed'").nodes.select("id", "label", "r_name", "size", F.col("x").between(-500, 500).alias("placed"))
+
+
 def _gml(spark: SparkSession, sf_dir: str) -> Graph:
     node = F.format_string('node [ id "%s" graphics [ x %s y 2 fill "#0a141e" ] label "%s ] of" r_name "%s" ]', "id", F.col("seq").cast("string"), "label", "r_name")
     return _imported(spark, sf_dir, "gml", "graph [ directed 1", node, "", F.format_string('edge [ source "%s" target "%s" value %s ]', "source", "target", F.col("weight").cast("string")), "]")

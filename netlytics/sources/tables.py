@@ -15,7 +15,7 @@ import shutil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import EDGE_BUILTIN, NODE_BUILTIN, Graph, GraphError, edge_frame, node_frame, start_position, with_seq
+from ..graph import EDGE_BUILTIN, NODE_BUILTIN, Graph, GraphError, edge_defaults, edge_frame, node_defaults, node_frame, start_position, with_seq
 from ..operators.edit import add_edges_frame, add_nodes_frame
 from .text_formats import parsed, with_attributes
 
@@ -55,6 +55,7 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",", multiline: bo
 
 
 def from_tables(nodes: DataFrame | None, edges: DataFrame | None) -> Graph:
+    """A graph of imported rows: ends that no row declares become nodes, and what a node or edge does not say has its default, whatever the format."""
     spark = (nodes if nodes is not None else edges).sparkSession
     if edges is None:
         edges = spark.createDataFrame([], "seq long, source string, target string")
@@ -65,7 +66,11 @@ def from_tables(nodes: DataFrame | None, edges: DataFrame | None) -> Graph:
         more = ends.join(nodes.select("id"), "id", "left_anti")
         start = (nodes.agg(F.max("seq")).first()[0] or 0) + 1
         nodes = nodes.unionByName(with_seq(more, "id").withColumn("seq", F.col("seq") + start), allowMissingColumns=True)
-    return Graph(node_frame(nodes), edge_frame(edges))
+    return Graph(_filled(node_frame(nodes), node_defaults()), _filled(edge_frame(edges), edge_defaults()))
+
+
+def _filled(df: DataFrame, defaults: dict) -> DataFrame:
+    return df.withColumns({c: F.coalesce(c, v) for c, v in defaults.items() if c in df.columns})
 
 
 def _quoted(value, separator: str):
@@ -154,11 +159,12 @@ def write_gexf(graph: Graph, path: str) -> None:
     _write_lines(_frame_rows(graph, head, node, ["</nodes>", "<edges>"], edge, ["</edges>", "</graph>", "</gexf>"]), path)
 
 
-def _pivoted(df: DataFrame, key: str, kinds: dict[str, tuple[str, str]]) -> DataFrame:
-    """One typed column for each declared attribute, from an array of (name, value)."""
+def _pivoted(df: DataFrame, kinds: dict[str, tuple[str, str, str | None]]) -> DataFrame:
+    """One typed column for each declared attribute (title, type, default), from an array of (name, value)."""
     out = df.withColumn("__m", F.map_from_entries(F.array_distinct(F.coalesce("__values", F.array().cast("array<struct<k:string,v:string>>")))))
-    for name, (title, kind) in kinds.items():
-        out = out.withColumn(title, F.try_element_at("__m", F.lit(name)).try_cast(_BACK.get(kind, "string")))
+    for name, (title, kind, default) in kinds.items():
+        value = F.coalesce(F.try_element_at("__m", F.lit(name)), F.lit(default).cast("string"))
+        out = out.withColumn(title, value.try_cast(_BACK.get(kind, "string")))
     return out.drop("__m", "__values")
 
 
@@ -166,18 +172,32 @@ def _definitions(df: DataFrame) -> list:
     return df.collect()  # one row for each declared column, a header
 
 
+def _graph_attribute(spark: SparkSession, path: str, name: str) -> str:
+    """An attribute of the file's (first) graph element, in lower case; empty if it has none.  The file is read as text up to each ``>``, by several tasks."""
+    tags = spark.read.option("lineSep", ">").text(path).where(r"value RLIKE '<graph(\\s|$)' AND NOT value RLIKE '<!--'")
+    found = tags.select(F.lower(F.regexp_extract("value", rf"""\s{name}\s*=\s*["']([^"']*)["']""", 1))).first()
+    return found[0] if found else ""
+
+
 def read_gexf(spark: SparkSession, path: str) -> Graph:
+    """Nodes, edges, declared attributes with their defaults, and viz looks.
+
+    An edge without a type has the graph's ``defaultedgetype``; where that is absent, too, it is directed.  A mutual edge is two, one each way.
+    """
     values = "attvalues struct<attvalue: array<struct<_for: string, _value: string>>>"
     viz = "`viz:color` struct<_r: int, _g: int, _b: int, _a: double>, `viz:position` struct<_x: float, _y: float>, `viz:size` struct<_value: float>"
     nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, _label string, {values}, {viz}").load(path)
     edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_id string, _source string, _target string, _type string, _weight double, _label string, {values}, `viz:color` struct<_r: int, _g: int, _b: int, _a: double>").load(path)
-    defs = _definitions(spark.read.format("xml").option("rowTag", "attributes").schema("_class string, attribute array<struct<_id: string, _title: string, _type: string>>").load(path))
-    kinds = {t: {a["_id"]: (a["_title"] or a["_id"], a["_type"] or "string") for d in defs if d["_class"] == t for a in d["attribute"] or []} for t in ("node", "edge")}
+    defs = _definitions(spark.read.format("xml").option("rowTag", "attributes").schema("_class string, attribute array<struct<_id: string, _title: string, _type: string, default: string>>").load(path))
+    kinds = {t: {a["_id"]: (a["_title"] or a["_id"], a["_type"] or "string", a["default"]) for d in defs if d["_class"] == t for a in d["attribute"] or []} for t in ("node", "edge")}
     entries = F.transform("attvalues.attvalue", lambda x: F.struct(x["_for"].alias("k"), x["_value"].alias("v"))).alias("__values")
     paint = [F.col("`viz:color`._r").alias("r"), F.col("`viz:color`._g").alias("g"), F.col("`viz:color`._b").alias("b"), F.coalesce(F.round(F.col("`viz:color`._a") * 255).cast("int"), F.lit(255)).alias("a")]
     n = nodes.where("_id IS NOT NULL").select(F.col("_id").alias("id"), F.col("_label").alias("label"), F.col("`viz:position`._x").alias("x"), F.col("`viz:position`._y").alias("y"), F.col("`viz:size`._value").alias("size"), *paint, entries)
-    e = edges.where("_source IS NOT NULL").select(F.col("_source").alias("source"), F.col("_target").alias("target"), (F.coalesce("_type", F.lit("directed")) != "undirected").alias("directed"), F.coalesce("_weight", F.lit(1.0)).alias("weight"), F.col("_label").alias("label"), *paint, entries)
-    return from_tables(with_seq(_pivoted(n, "id", kinds["node"]), "id"), with_seq(_pivoted(e, "source", kinds["edge"]), "source", "target"))
+    kind = F.lower(F.coalesce("_type", F.lit(_graph_attribute(spark, path, "defaultedgetype") or "directed")))
+    e = edges.where("_source IS NOT NULL").select(F.col("_source").alias("source"), F.col("_target").alias("target"), kind.alias("__kind"), (kind != "undirected").alias("directed"), F.coalesce("_weight", F.lit(1.0)).alias("weight"), F.col("_label").alias("label"), *paint, entries)
+    back = e.where("__kind = 'mutual' AND source <> target").withColumns({"source": F.col("target"), "target": F.col("source")})
+    e = e.unionByName(back).drop("__kind")
+    return from_tables(with_seq(_pivoted(n, kinds["node"]), "id"), with_seq(_pivoted(e, kinds["edge"]), "source", "target"))
 
 
 def write_graphml(graph: Graph, path: str) -> None:
@@ -198,14 +218,15 @@ def write_graphml(graph: Graph, path: str) -> None:
 
 
 def read_graphml(spark: SparkSession, path: str) -> Graph:
+    """Nodes, edges, and keys with their defaults; an edge that does not say has the graph's ``edgedefault``, and is directed where that is absent."""
     data = "data array<struct<_key: string, _VALUE: string>>"
     nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(path)
     edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, _directed boolean, {data}").load(path)
-    keys = _definitions(spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string, `_attr.type` string, _VALUE string").load(path))
-    kinds = {t: {k["_id"]: (k["_attr.name"], k["_attr.type"] or "string") for k in keys if k["_for"] in (t, "all")} for t in ("node", "edge")}
+    keys = _definitions(spark.read.format("xml").option("rowTag", "key").schema("_id string, _for string, `_attr.name` string, `_attr.type` string, default string").load(path))
+    kinds = {t: {k["_id"]: (k["_attr.name"] or k["_id"], k["_attr.type"] or "string", k["default"]) for k in keys if k["_for"] in (t, "all", None)} for t in ("node", "edge")}
     entries = F.transform("data", lambda x: F.struct(x["_key"].alias("k"), x["_VALUE"].alias("v"))).alias("__values")
-    n = _pivoted(nodes.where("_id IS NOT NULL").select(F.col("_id").alias("id"), entries), "id", kinds["node"])
-    e = _pivoted(edges.where("_source IS NOT NULL").select(F.col("_source").alias("source"), F.col("_target").alias("target"), F.coalesce("_directed", F.lit(True)).alias("directed"), entries), "source", kinds["edge"])
+    n = _pivoted(nodes.where("_id IS NOT NULL").select(F.col("_id").alias("id"), entries), kinds["node"])
+    e = _pivoted(edges.where("_source IS NOT NULL").select(F.col("_source").alias("source"), F.col("_target").alias("target"), F.coalesce("_directed", F.lit(_graph_attribute(spark, path, "edgedefault") != "undirected")).alias("directed"), entries), kinds["edge"])
     if "weight" in e.columns:
         e = e.withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)))
     return from_tables(with_seq(n, "id"), with_seq(e, "source", "target"))

@@ -56,6 +56,23 @@ def test_files(spark, tmp_path):
     assert not out["success"] and "line 1" in out["error"]
 
 
+@pytest.mark.parametrize(
+    ("ending", "text", "directed"),
+    [
+        ("gexf", '<gexf><graph {}><nodes><node id="a"/></nodes><edges><edge source="a" target="b"/><edge source="b" target="c" type="Directed"/><edge source="c" target="a" type="undirected" weight="2"/></edges></graph></gexf>', {'defaultedgetype="undirected"': False, "defaultedgetype = 'directed'": True, "": True}),
+        ("graphml", '<graphml><!-- <graph edgedefault="undirected"> --><graph {}><node id="a"/><edge source="a" target="b"/><edge source="b" target="c" directed="true"/><edge source="c" target="a" directed="false"/></graph></graphml>', {'id="G"\n edgedefault="undirected"': False, 'edgedefault="directed"': True, "": True}),
+    ],
+)
+def test_default_directions(spark, tmp_path, ending, text, directed):
+    """Edges that do not say have the graph's direction, and are directed where it does not say either; nodes known from edges look like the others."""
+    for i, (attribute, default) in enumerate(directed.items()):
+        path = tmp_path / f"{i}.{ending}"
+        path.write_text(text.format(attribute))
+        g = IO.read_graph(spark, str(path))
+        assert {(r["source"], r["target"]): (r["directed"], r["type"]) for r in g.edges.collect()} == {("a", "b"): (default, int(default)), ("b", "c"): (True, 1), ("c", "a"): (False, 0)}
+        assert [(r["id"], r["label"], r["size"], r["r"], r["x"] is not None) for r in g.nodes.orderBy("id").collect()] == [(i, i, 10.0, 153, True) for i in "abc"]
+
+
 def test_csv_keeps_any_text(spark, tmp_path):
     odd = ['x, "y"', "a\nb", " spaced ", "plain", "semi;colon", "'"]
     nodes = spark.createDataFrame([(str(i), i, t, t) for i, t in enumerate(odd)], "id string, seq long, label string, `note, more` string")
