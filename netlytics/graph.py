@@ -58,6 +58,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of a loop: each is made from the last one, so the one before that is deleted."""
+
+    def __init__(self):
+        self._paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        path = shared_path(spark)
+        df.write.parquet(path)
+        self._paths.append(path)
+        if len(self._paths) > 2:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._paths.pop(0))
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(path)
+
+
 def start_position(id_col, axis: str):
     """A repeatable position in [-500, 500) from the id."""
     return (F.pmod(F.xxhash64(id_col, F.lit(axis)), F.lit(1_000_000)) / 1000.0 - 500.0).cast("float")

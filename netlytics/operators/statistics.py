@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, GraphError, degrees, durable, flow, undirected
+from .communities import compute_modularity, louvain, modularity_score
 from .components import connected_components
 
-#: Louvain works on one machine up to this many links (a check of their number); beyond it rounds of joins move many nodes at once.
-MAX_LOCAL_LINKS = 200_000
+__all__ = ["compute_modularity", "louvain", "modularity_score"]
+
 #: Adjacency is sent to all tasks only up to this many neighbour entries (8 bytes each); beyond it distances use joins.
 MAX_SHARED_NEIGHBOURS = 20_000_000
 
@@ -253,153 +254,3 @@ def compute_betweenness(graph: Graph, **options) -> tuple[Graph, dict]:
 
 def compute_avg_path_length(graph: Graph, **options) -> tuple[Graph, dict]:
     return graph, distances(graph, directed=False, shares=False, **options)[1]
-
-
-# ---------------------------------------------------------------- modularity
-
-
-def modularity_score(graph: Graph, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """One row with ``modularity``: sum over communities of L_c/m - resolution (k_c/2m)^2, unweighted; membership is (id, community)."""
-    m = membership.select(F.col("id").alias("__id"), F.col("community").alias("c"))
-    e = graph.edges.select("source", "target").join(m.toDF("source", "cs"), "source").join(m.toDF("target", "ct"), "target")
-    ends = e.select(F.explode(F.array(F.struct(F.col("cs").alias("c"), F.when(F.col("cs") == F.col("ct"), 1).otherwise(0).alias("l")), F.struct(F.col("ct").alias("c"), F.lit(0).alias("l")))).alias("x")).select("x.c", "x.l")
-    per = ends.groupBy("c").agg(F.sum("l").cast("double").alias("l"), F.count("*").cast("double").alias("k"))
-    total = per.agg(F.sum("l").alias("inside"), F.sum("k").alias("k2"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-    return total.select(F.when(F.col("k2") > 0, 2 * F.col("inside") / F.col("k2") - resolution * F.col("squares") / (F.col("k2") * F.col("k2"))).otherwise(0.0).alias("modularity"))
-
-
-def _score(links: DataFrame, sizes: DataFrame, now: DataFrame, total: float, resolution: float) -> float:
-    """The modularity of the communities ``c``, whose sums of ``k`` are ``kc`` in sizes."""
-    to = links.join(now.select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(now.select(F.col("id").alias("t"), F.col("c").alias("ct")), "t")
-    inside = to.where("cs = ct").agg(F.sum("w")).first()[0] or 0.0
-    return inside / total - resolution * sizes.agg(F.sum(F.col("kc") * F.col("kc"))).first()[0] / (total * total)
-
-
-def _apart(moves: DataFrame) -> DataFrame:
-    """Moves (id, c, to, gain) that are the best of all at the community they leave and at the one they enter: their gains add up."""
-    rank = F.struct("gain", "id")
-    best = moves.select(F.explode(F.array("c", "to")).alias("at"), rank.alias("rank")).groupBy("at").agg(F.max("rank").alias("best"))
-    left, entered = best.toDF("c", "b1"), best.toDF("to", "b2")
-    return moves.withColumn("rank", rank).join(left, "c").join(entered, "to").where("rank = b1 AND rank = b2").select("id", "c", "to", "gain")
-
-
-def _local_moves(links: DataFrame, k: DataFrame, total: float, resolution: float) -> DataFrame:
-    """(id, community): nodes move to the neighbouring community of the greatest gain, until no move gains.
-
-    Rounds alternate between moves to smaller and to larger community names, so that two nodes never swap.
-    Each round raises modularity, which ends them: if its moves made at once do not, only those are made
-    that touch no common community.
-    """
-    links, now = durable(links), durable(k.select("id", "k", F.col("id").alias("c")))
-    score, idle, i = None, 0, 0
-    while idle < 2:
-        sizes = now.groupBy("c").agg(F.sum("k").alias("kc"))
-        if score is None:
-            score = _score(links, sizes, now, total, resolution)
-        to = links.where("s <> t").join(now.select(F.col("id").alias("t"), F.col("c").alias("to")), "t").groupBy("s", "to").agg(F.sum("w").alias("w"))
-        here = now.select(F.col("id").alias("s"), "k", "c")
-        options = here.join(to, "s").join(sizes.toDF("to", "kt"), "to")
-        # Gain of joining a community without the node itself in it.
-        kt = F.col("kt") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.col("w") - resolution * F.col("k") * kt / total)
-        stay = options.where("to = c").select("s", F.col("gain").alias("stay"))
-        own = here.join(sizes.toDF("c", "kc"), "c").select("s", "c", (-resolution * F.col("k") * (F.col("kc") - F.col("k")) / total).alias("alone"))
-        allowed = F.col("to") < F.col("c") if i % 2 == 0 else F.col("to") > F.col("c")
-        best = options.where(allowed).groupBy("s").agg(F.max(F.struct("gain", "to")).alias("best"))
-        more = F.col("best.gain") - F.coalesce("stay", "alone")
-        moves = durable(best.join(stay, "s", "left").join(own, "s").where(more > 1e-12).select(F.col("s").alias("id"), "c", F.col("best.to").alias("to"), more.alias("gain")))
-        i, idle = i + 1, idle + 1
-        if moves.isEmpty():
-            continue
-        for chosen in (moves, _apart(moves)):
-            new = durable(now.join(chosen.select("id", "to"), "id", "left").select("id", "k", F.coalesce("to", "c").alias("c")))
-            found = _score(links, new.groupBy("c").agg(F.sum("k").alias("kc")), new, total, resolution)
-            if found > score:
-                now, score, idle = new, found, 0
-                break
-    return now.select("id", F.col("c").alias("community"))
-
-
-def _one_by_one(links: dict[int, dict[int, float]], total: float, resolution: float) -> dict[int, int]:
-    """Communities from moves of single nodes, in order, until none gains."""
-    degree = {v: sum(to.values()) for v, to in links.items()}
-    own, weight = {v: v for v in links}, dict(degree)
-    moved = True
-    while moved:
-        moved = False
-        for v, to in links.items():
-            here, k = own[v], degree[v]
-            near: dict[int, float] = {here: 0.0}
-            for u, w in to.items():
-                if u != v:
-                    near[own[u]] = near.get(own[u], 0.0) + w
-            weight[here] -= k
-            gain = {c: w - resolution * k * weight[c] / total for c, w in near.items()}
-            best = max(gain, key=lambda c: (gain[c], -c))
-            if gain[best] <= gain[here] + 1e-12:
-                best = here
-            weight[best] += k
-            if best != here:
-                own[v], moved = best, True
-    return own
-
-
-def _louvain_here(graph: Graph, links: DataFrame, total: float, resolution: float) -> DataFrame:
-    """Louvain on the driver, for links whose number has been checked: local moves and contraction until nothing changes."""
-    table = links.orderBy("s", "t").toPandas()
-    names = sorted(set(table["s"]) | set(table["t"]))
-    place = {n: i for i, n in enumerate(names)}
-    now: dict[int, dict[int, float]] = {i: {} for i in range(len(names))}
-    for s, t, w in zip(table["s"], table["t"], table["w"], strict=True):
-        now[place[s]][place[t]] = w
-    member = list(range(len(names)))
-    while True:
-        own = _one_by_one(now, total, resolution)
-        if len(set(own.values())) == len(now):
-            break
-        member = [own[c] for c in member]
-        merged: dict[int, dict[int, float]] = {c: {} for c in sorted(set(own.values()))}
-        for v, to in now.items():
-            row = merged[own[v]]
-            for u, w in to.items():
-                row[own[u]] = row.get(own[u], 0.0) + w
-        now = merged
-    found = graph.spark.createDataFrame([(n, names[c]) for n, c in zip(names, member, strict=True)], "id string, next string")
-    return graph.nodes.select("id").join(found, "id", "left").select("id", F.coalesce("next", "id").alias("community"))
-
-
-def louvain(graph: Graph, resolution: float = 1.0, here: bool | None = None) -> DataFrame:
-    """(id, community) by repeated local moves and contraction, until neither changes anything (Blondel et al. 2008; resolution as Reichardt & Bornholdt 2006); never worse than single nodes.
-
-    ``here``: on the driver (None: if there are at most ``MAX_LOCAL_LINKS`` links).
-    """
-    e = graph.edges.select(F.col("source").alias("s"), F.col("target").alias("t"))
-    links = durable(e.unionByName(e.select(F.col("t").alias("s"), F.col("s").alias("t"))).groupBy("s", "t").agg(F.count("*").cast("double").alias("w")))
-    total = links.agg(F.sum("w")).first()[0]
-    if total and (links.count() <= MAX_LOCAL_LINKS if here is None else here):
-        return _louvain_here(graph, links, total, resolution)
-    member = durable(graph.nodes.select("id", F.col("id").alias("community")))
-    best = modularity_score(graph, member, resolution).first()[0]
-    while total:
-        found = _local_moves(links, links.groupBy(F.col("s").alias("id")).agg(F.sum("w").alias("k")), total, resolution)
-        new = durable(member.join(found.toDF("community", "next"), "community", "left").select("id", F.coalesce("next", "community").alias("community")))
-        score = modularity_score(graph, new, resolution).first()[0]
-        if score <= best + 1e-9:
-            break
-        member, best = new, score
-        names = found.toDF("s", "cs")
-        links = durable(links.join(names, "s").join(names.toDF("t", "ct"), "t").groupBy(F.col("cs").alias("s"), F.col("ct").alias("t")).agg(F.sum("w").alias("w")))
-    return member
-
-
-def compute_modularity(graph: Graph, resolution: float = 1.0) -> tuple[Graph, dict]:
-    """modularity_class 0, 1, … by size, and the score."""
-    if resolution <= 0:
-        raise GraphError("resolution must be positive")
-    member = durable(louvain(graph, resolution))
-    from ..graph import with_seq
-
-    sizes = member.groupBy("community").agg((-F.count("*")).alias("n"))
-    numbers = with_seq(sizes, "n", "community").select("community", F.col("seq").cast("int").alias("modularity_class"))
-    nodes = graph.nodes.drop("modularity_class").join(member.join(numbers, "community").select("id", "modularity_class"), "id", "left")
-    return graph.with_(nodes=nodes), {"modularity": modularity_score(graph, member, resolution).first()[0], "communities": sizes.count()}

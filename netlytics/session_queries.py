@@ -17,6 +17,7 @@ from .graph import Graph, shared_path
 from .operators import layout as L
 from .operators import query as Q
 from .operators import statistics as S
+from .operators.components import component_labels
 from .plans import jobs as J
 from .plans import reports as R
 from .queries import _copurchase, _trade, query
@@ -577,17 +578,20 @@ def community_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(found["communities"], total, round(found["modularity"], 9), palette, low == 3 and high == 25, found["quality"])], "communities long, nodes long, modularity double, palette boolean, sizes boolean, quality string")
 
 
-@query(_copurchase("", "SELECT (SELECT count(*) FROM n) AS nodes, TRUE AS numbered, TRUE AS better_than_brands, TRUE AS better_than_one, TRUE AS score_agrees"))
+@query(_copurchase("", "SELECT (SELECT count(*) FROM n) AS nodes, TRUE AS numbered, TRUE AS better_than_brands, TRUE AS better_than_one, TRUE AS score_agrees, TRUE AS connected"))
 def louvain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whatever communities are found: classes from 0 without a gap, and a modularity above those of known partitions."""
+    """Whatever communities are found: classes from 0 without a gap, a modularity above those of known partitions, and each connected within itself."""
     g, scalars = S.compute_modularity(copurchase(spark, sf_dir).checkpoint())
+    g = g.checkpoint()
     classes = g.nodes.select("id", F.col("modularity_class").alias("community"))
     n, top, kinds = classes.agg(F.count("*"), F.max("community"), F.count_distinct("community")).first()
     score = lambda m: S.modularity_score(g, m).first()[0]
     found = score(classes)
     brands = score(g.nodes.select("id", F.col("p_brand").alias("community")))
-    row = (n, top + 1 == kinds == scalars["communities"], found > brands, found > 0, abs(found - scalars["modularity"]) < 1e-9)
-    return _rows(spark, [row], "nodes long, numbered boolean, better_than_brands boolean, better_than_one boolean, score_agrees boolean")
+    inside = g.edges.join(classes.toDF("source", "cs"), "source").join(classes.toDF("target", "ct"), "target").where("cs = ct")
+    parts = component_labels(inside.select(F.col("source").alias("a"), F.col("target").alias("b"))).select("label").distinct().count()
+    row = (n, top + 1 == kinds == scalars["communities"], found > brands, found > 0, abs(found - scalars["modularity"]) < 1e-9, parts == kinds)
+    return _rows(spark, [row], "nodes long, numbered boolean, better_than_brands boolean, better_than_one boolean, score_agrees boolean, connected boolean")
 
 
 @query("""SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 1 AS node_count, (SELECT count(*) FROM nation) AS edge_count, (SELECT count(*) FROM region) AS communities,

@@ -4,9 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from netlytics.graph import Graph, edge_frame, node_frame
 from netlytics.operators import layout as L
-from netlytics.operators import statistics as S
 from netlytics.session import Session
 from netlytics.sources import tables as IO
 from netlytics.sources.text_formats import ParseError, parse_dot, parse_gml, parse_pajek
@@ -99,14 +97,3 @@ def test_tree_against_the_exact_sum():
         out = next(L._push(levels, width, theta, force, False)(iter([pdf])))
         errors.append(np.median(np.hypot(out.px - exact.px, out.py - exact.py) / np.hypot(exact.px, exact.py)))
     assert errors[0] < errors[1] < 0.05 and errors[0] < 0.005
-
-
-def test_louvain_on_one_machine_and_by_joins(spark):
-    """Both find the two cliques."""
-    edges = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0")]
-    g = Graph(node_frame(spark.createDataFrame([(f"{c}{i}", i) for c in "ab" for i in range(5)], "id string, seq long")), edge_frame(spark.createDataFrame([(i, *e) for i, e in enumerate(edges)], "seq long, source string, target string")))
-    for here in (True, False):
-        classes = {}
-        for r in S.louvain(g, here=here).collect():
-            classes.setdefault(r.community, set()).add(r.id[0])
-        assert sorted(map(sorted, classes.values())) == [["a"], ["b"]]
