@@ -590,6 +590,7 @@ def louvain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = score(g.nodes.select("id", F.col("p_brand").alias("community")))
     inside = g.edges.join(classes.toDF("source", "cs"), "source").join(classes.toDF("target", "ct"), "target").where("cs = ct")
     parts = component_labels(inside.select(F.col("source").alias("a"), F.col("target").alias("b"))).select("label").distinct().count()
+    parts += classes.groupBy("community").count().where("count = 1").count()  # nodes by themselves
     row = (n, top + 1 == kinds == scalars["communities"], found > brands, found > 0, abs(found - scalars["modularity"]) < 1e-9, parts == kinds)
     return _rows(spark, [row], "nodes long, numbered boolean, better_than_brands boolean, better_than_one boolean, score_agrees boolean, connected boolean")
 
