@@ -11,7 +11,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -183,6 +183,24 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+# ---------------------------------------------------------------- samples to learn from
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, *, id_col: str, text_col: str, max_labelled: int, max_bytes: int) -> DataFrame:
+    """(text, label, id): whole texts of at most ``max_labelled`` ids of ``known`` (id, label), in the order of a hash of the ids, and of at most ``max_bytes`` together.
+
+    Texts over a 64th of ``max_bytes`` come last, so that one very long text cannot take the place of all others.  Of rows that share an id the least text counts.
+    """
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
+    rows = rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label", F.xxhash64("id").alias("id"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = rows.select("id", size.alias("size"))
+    order = Window.orderBy(F.col("size") > max_bytes // 64, "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # max_labelled pairs of numbers
+    fit = sizes.withColumn("all", F.sum("size").over(order)).where(F.col("all") <= max_bytes).select("id")
+    return rows.join(F.broadcast(fit), "id", "left_semi").select("text", "label", "id")
+
+
 # ---------------------------------------------------------------- columns and rows
 
 

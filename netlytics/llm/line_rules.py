@@ -8,8 +8,8 @@ content lines decides whether the text is kept.
 Words are maximal runs without ``[\\x20\\x09-\\x0D]``.  Null texts have no words; such texts, and all with
 under ``min_words`` words or too many repeated windows, fail the base rules.  Texts of any length are judged whole.
 
-The field is fitted on at most ``max_labelled`` documents, chosen by a hash of their ids, and of each on at most
-``max_blocks`` blocks of ``BLOCK`` lines, evenly spaced.  Ids with several labels are not learned from.
+The field is fitted on the whole texts of at most ``max_labelled`` documents, chosen by a hash of their ids and of ``max_bytes`` bytes together at most,
+in sequences of ``BLOCK`` lines.  Ids with several labels are not learned from.
 Without labelled documents of both kinds every line is content, so that the base rules alone decide.
 An empty table gives an empty result.  Every row is judged by itself: ids may be of any type, absent or shared.
 Only the id and text columns are looked at, so no other name clashes.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, bounded, mix, span_hashes, text_bytes, word_bounds
+from .common import U64, bounded, labelled_sample, mix, span_hashes, text_bytes, word_bounds
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -146,27 +146,20 @@ def all_content() -> LineField:
     return LineField(np.eye(len(FEATURES))[0], 0.0)
 
 
-def _blocks(x: np.ndarray, most: int) -> list[np.ndarray]:
-    """At most ``most`` evenly spaced blocks of a text's lines."""
-    n = -(-len(x) // BLOCK)
-    return [x[k * BLOCK : (k + 1) * BLOCK] for k in sorted({i * n // min(n, most) for i in range(min(n, most))})]
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500, max_blocks: int = 8) -> LineField:
-    """A field from at most ``max_labelled`` labelled documents, chosen by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 1500, max_bytes: int = 8 << 20) -> LineField:
+    """A field from the whole texts of at most ``max_labelled`` labelled documents, chosen by a hash of their ids, ``max_bytes`` together at most."""
     bounded(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.max("label").alias("label"), F.min("label").alias("other")).where("label = other").drop("other")
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
-    rows = rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label", F.xxhash64("id").alias("id"))
+    rows = labelled_sample(docs, known, id_col=id_col, text_col=text_col, max_labelled=max_labelled, max_bytes=max_bytes)
 
     def features(batches):
         for batch in batches:
             blobs, label, ids = [], [], []
             for value, y, doc in zip(*batch.columns, strict=True):
-                for x in _blocks(line_features(text_bytes(value))[0], max_blocks):
-                    blobs.append(x.astype(np.float32).tobytes())
+                x = line_features(text_bytes(value))[0].astype(np.float32)
+                for i in range(0, len(x), BLOCK):  # a long text is a sequence for each block
+                    blobs.append(x[i : i + BLOCK].tobytes())
                     label.append(y.as_py())
                     ids.append((doc.as_py(), len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([k for _, k in ids], pa.int32()), pa.array(blobs, pa.binary()), pa.array(label, pa.int32())], names=["id", "k", "x", "label"])

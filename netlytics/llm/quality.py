@@ -3,9 +3,8 @@
 A text is a bag of passages of ``PASSAGE`` bytes.  Each passage is described by how often kinds of
 characters, and pairs of kinds, occur in it.  An encoder maps passages to vectors; gated attention weighs
 them; the weighted vector is scored.  Only documents are labelled: the attention learns which passages
-matter.  All weights are trained here by gradient descent, on at most ``max_labelled`` labelled
-documents chosen by a hash of their ids, and on at most ``max_passages`` evenly spaced passages of each of
-these; the model (about 40 kB) travels with the scoring function.
+matter.  All weights are trained here by gradient descent, on all passages of at most ``max_labelled`` labelled
+documents, chosen by a hash of their ids and of ``max_bytes`` bytes together at most; the model (about 40 kB) travels with the scoring function.
 
 Every passage of every text is scored, whatever its length.  Null and empty texts are one passage without
 characters.  Labels, ids and all other columns are never inputs of a score.  Without labelled documents of
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import bounded, text_bytes
+from .common import bounded, labelled_sample, text_bytes
 
 PASSAGE = 512
 _KINDS = 16
@@ -132,24 +131,21 @@ def held_out(id_col) -> F.Column:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, max_passages: int = 64, **options
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 3000, max_bytes: int = 16 << 20, **options
 ) -> AttentionModel:
-    """A model from at most ``max_labelled`` documents that are labelled and not held out."""
+    """A model from the whole texts of at most ``max_labelled`` documents that are labelled and not held out, ``max_bytes`` together at most."""
     bounded(docs)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label"), F.count_distinct("label").alias("k")).where("k = 1").drop("k")
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_labelled rows of two numbers
-    rows = rows.groupBy("id").agg(F.min(F.struct("text", "label")).alias("one")).select("one.text", "one.label", F.xxhash64("id").alias("id"))
+    rows = labelled_sample(docs, known, id_col=id_col, text_col=text_col, max_labelled=max_labelled, max_bytes=max_bytes)
 
     def features(batches):
         for batch in batches:
             blobs, ns = [], []
             for value in batch.column(0):
                 x, n = passage_features([text_bytes(value)])
-                k = min(int(n[0]), max_passages)
-                blobs.append(x[np.arange(k) * int(n[0]) // k].astype(np.float16).tobytes())
-                ns.append(k)
+                blobs.append(x.astype(np.float16).tobytes())
+                ns.append(int(n[0]))
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(blobs, pa.binary()), pa.array(ns, pa.int32()), batch.column(1)], names=["id", "x", "n", "label"])
 
     got = rows.mapInArrow(features, "id long, x binary, n int, label int").toArrow().sort_by("id")

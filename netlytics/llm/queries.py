@@ -107,36 +107,6 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
-    "op5_quotes": r"""
-WITH split_lines AS (
-  SELECT conv_id, turn, role, text, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS parts
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-lines AS (SELECT conv_id, turn, unnest(parts) AS raw FROM split_lines),
-levels AS (
-  SELECT conv_id, turn, length(regexp_replace(regexp_extract(raw, '^[ \t]*((?:>[ \t]*)+)', 1), '[ \t]', '', 'g')) AS level,
-         translate(trim(regexp_replace(regexp_replace(raw, '^[ \t]*((?:>[ \t]*)+)', ''), '[ \t\x0B\f]+', ' ', 'g'), ' '),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM lines),
-own AS (SELECT DISTINCT conv_id, turn, key FROM levels WHERE level = 0 AND key <> ''),
-quoted AS (SELECT conv_id, turn, level, key FROM levels WHERE level > 0 AND key <> ''),
-numbered AS (SELECT *, row_number() OVER () AS q FROM quoted),
-linked AS (
-  SELECT n.q, n.conv_id, n.turn, n.level, max(o.turn) AS found
-  FROM numbered n LEFT JOIN own o ON o.conv_id = n.conv_id AND o.key = n.key AND o.turn < n.turn GROUP BY ALL),
-votes AS (SELECT conv_id, turn, found, count(*) FILTER (WHERE level = 1) AS votes, count(*) AS n FROM linked GROUP BY ALL),
-best AS (
-  SELECT conv_id, turn, sum(n) AS n_quoted, coalesce(sum(n) FILTER (WHERE found IS NOT NULL), 0) AS n_linked,
-         arg_max(found, votes * 1000000000 + found) FILTER (WHERE found IS NOT NULL AND votes > 0) AS quoted_turn
-  FROM votes GROUP BY conv_id, turn),
-turns AS (
-  SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
-  FROM (SELECT DISTINCT conv_id, turn FROM split_lines))
-SELECT s.conv_id, s.turn, s.role,
-       CASE WHEN len(list_filter(parts, lambda x: regexp_matches(x, '^[ \t]*>'))) > 0
-            THEN array_to_string(list_filter(parts, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)) ELSE coalesce(text, '') END AS text,
-       coalesce(quoted_turn, previous) AS reply_to, CAST(coalesce(n_quoted, 0) AS BIGINT) AS n_quoted,
-       CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked
-FROM split_lines s JOIN turns t USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn)""",
     "op6_warc": r"""
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
