@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph, durable, edge_frame, node_frame
+from .graph import Graph, durable, edge_frame, from_edges, node_frame
 from .streaming.edges import transitions
 
 
@@ -50,3 +50,11 @@ def membership(spark: SparkSession, sf_dir: str) -> Graph:
 
 def event_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions(_read(spark, sf_dir, "events"))
+
+
+def day_steps(spark: SparkSession, sf_dir: str) -> Graph:
+    """A directed graph with cycles: from each event of a user to the next one on the same day; a node is a kind of event with its value to one decimal."""
+    events = _read(spark, sf_dir, "events").where("event_type IS NOT NULL AND value IS NOT NULL")
+    state = F.concat("event_type", F.lit(":"), F.floor(F.col("value") * 10).cast("string"))
+    steps = events.withColumn("kind", state).withColumn("day", F.to_date("ts")).withColumn("key", F.struct("user_id", "day"))
+    return from_edges(transitions(steps, user="key", kind="kind"), None)

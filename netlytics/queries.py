@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import copurchase, event_transitions, trade
+from .fixtures import copurchase, day_steps, event_transitions, trade
 from .functions.values import coerce, type_named
 from .graph import Graph, degrees
 from .operators import appearance as A
 from .operators import edit as E
 from .operators import filters as FI
 from .operators import layout as L
+from .operators import paths as PA
 from .operators import preview as P
 from .operators import query as Q
 from .operators import statistics as S
+from .operators.components import strong_components as strong_parts
 from .plans import reports as R
 from .sources import tables as IO
 
@@ -256,10 +258,41 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_copurchase(_PAIRS, """SELECT round(sum(d) / count(*)::DOUBLE, 9) AS average_path_length, CAST(max(d) AS BIGINT) AS diameter,
 (SELECT CAST(min(m) AS BIGINT) FROM (SELECT max(d) AS m FROM b WHERE d > 0 GROUP BY src)) AS radius FROM b WHERE d > 0""", True))
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scalars = S.distances(copurchase(spark, sf_dir).checkpoint())[1]
+    scalars = S.distances(copurchase(spark, sf_dir).checkpoint(), shares=False)[1]
     return spark.createDataFrame([(round(scalars["average_path_length"], 9), scalars["diameter"], scalars["radius"])], "average_path_length double, diameter long, radius long")
 
 
+@query(_copurchase("", "SELECT count(*) AS nodes, TRUE AS closeness, TRUE AS harmonic, TRUE AS path_length, TRUE AS reached FROM n"))
+def closeness_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketched distances beside exact ones: mean errors under 2 %, hardly any node off by over 5 %."""
+    g = copurchase(spark, sf_dir).checkpoint()
+    found, about = PA.sketched_distances(g)
+    exact, scalars = S.distances(g, shares=False)
+    both = found.join(exact.select("id", F.col("closnesscentrality").alias("c"), F.col("harmonicclosnesscentrality").alias("h")), "id")
+    error = lambda a, b: F.abs(F.col(a) / F.col(b) - 1)
+    row = both.agg(F.count("*"), F.avg(error("closnesscentrality", "c")), F.avg(error("harmonicclosnesscentrality", "h")), F.avg((error("harmonicclosnesscentrality", "h") > 0.05).cast("int")), F.min("reached")).first()
+    length = abs(about["average_path_length"] / scalars["average_path_length"] - 1)
+    return spark.createDataFrame([(row[0], row[1] < 0.02, row[2] < 0.02, length < 0.02, row[3] < 0.02 and row[4] > 0)], "nodes long, closeness boolean, harmonic boolean, path_length boolean, reached boolean")
+
+
+@query(_copurchase(_PAIRS, """SELECT CAST(max(d) AS BIGINT) AS diameter, (SELECT CAST(min(m) AS BIGINT) FROM (SELECT max(d) AS m FROM b WHERE d > 0 GROUP BY src)) AS radius FROM b WHERE d > 0""", True))
+def path_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = PA.path_bounds(copurchase(spark, sf_dir).checkpoint())
+    return spark.createDataFrame([(found["diameter"], found["radius"])], "diameter long, radius long")
+
+
+@query("""WITH RECURSIVE steps AS (
+  SELECT event_type || ':' || CAST(floor(value * 10) AS BIGINT) AS s,
+         lead(event_type || ':' || CAST(floor(value * 10) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS t
+  FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+e AS MATERIALIZED (SELECT DISTINCT s, t FROM steps WHERE t IS NOT NULL),
+n AS (SELECT s AS id FROM e UNION SELECT t FROM e),
+reach AS (SELECT id, id AS other FROM n UNION SELECT r.id, e.t FROM reach r JOIN e ON e.s = r.other)
+SELECT a.id, min(a.other) AS component FROM reach a JOIN reach b ON a.id = b.other AND a.other = b.id GROUP BY a.id""")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong_parts(day_steps(spark, sf_dir).checkpoint())
+
+
 _BY_BRAND = """
 m AS (SELECT p_partkey AS id, p_brand AS community FROM part), ec AS (SELECT a.community AS cs, b.community AS ct FROM e JOIN m a ON a.id = e.s JOIN m b ON b.id = e.t)"""
 
