@@ -393,12 +393,18 @@ def bulk_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bulk_remove_nodes(trade(spark, sf_dir), ["N1", "N2", "N1", "zz"])[0].edges.select("source", "target")
 
 
-@query("""SELECT * FROM (VALUES ('12.7', 12, CAST(12 AS BIGINT), 12.7::DOUBLE, FALSE), ('-3.9', -3, -3, -3.9, FALSE), ('TRUE', NULL, NULL, NULL, TRUE), ('yes', NULL, NULL, NULL, FALSE),
-('9999999999', 2147483647, 9999999999, 9999999999.0, FALSE), ('1e3', 1000, 1000, 1000.0, FALSE), ('', NULL, NULL, NULL, FALSE)) t(v, i, l, d, b)""")
+@query("""WITH t AS (
+  SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_custkey || '.7' WHEN 1 THEN '-' || c_custkey || '.9' WHEN 2 THEN c_mktsegment WHEN 3 THEN 'TRUE' WHEN 4 THEN CAST(c_custkey * 99999999 AS VARCHAR) ELSE c_custkey || 'e3' END AS v FROM customer),
+x AS (SELECT *, TRY_CAST(v AS DOUBLE) AS d FROM t)
+SELECT c_custkey, v, CAST(CASE WHEN d >= 2147483647 THEN 2147483647 ELSE trunc(d) END AS INTEGER) AS i, CAST(trunc(d) AS BIGINT) AS l, d, lower(v) = 'true' AS b FROM x""")
 def coercion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(v,) for v in ("12.7", "-3.9", "TRUE", "yes", "9999999999", "1e3", "")], "v string")
+    """Texts made of the customers' keys and segments, as each type."""
+    key = F.col("c_custkey").cast("string")
+    kind = F.col("c_custkey") % 6
+    v = F.when(kind == 0, F.concat(key, F.lit(".7"))).when(kind == 1, F.concat(F.lit("-"), key, F.lit(".9"))).when(kind == 2, F.col("c_mktsegment")).when(kind == 3, F.lit("TRUE")).when(kind == 4, (F.col("c_custkey") * 99999999).cast("string")).otherwise(F.concat(key, F.lit("e3")))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", v.alias("v"))
     kinds = {"i": "integer", "l": "long", "d": "double", "b": "bool"}
-    return rows.select("v", *[coerce(F.col("v"), type_named(k)).alias(c) for c, k in kinds.items()])
+    return rows.select("c_custkey", "v", *[coerce(F.col("v"), type_named(k)).alias(c) for c, k in kinds.items()])
 
 
 @query(_trade("", "SELECT 'Id,Label,r_name' AS line UNION ALL SELECT id || ',' || label || ',' || r_name FROM n"))

@@ -471,7 +471,7 @@ def _finished(s: Session) -> dict:
     return _do(s, "get_layout_status")
 
 
-@query(_trade("", "SELECT id, round(sqrt(2.0) * 0 + 70, 3) AS radius, 'new' AS edited, 'Circular' AS layout FROM n"))
+@query(_trade("", "SELECT id, 70.0::DOUBLE AS radius, 'new' AS edited, 'Circular' AS layout FROM n"))
 def set_layout_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout with a property of its own, run beside an edit; both count."""
     s = _session(spark, sf_dir)
@@ -647,9 +647,11 @@ def community_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("key_member").alias("community"), "size", "internal_edges", F.round("internal_density", 9).alias("internal_density"), "bridges", "key_member")
 
 
-@query("SELECT * FROM (VALUES (0.1::DOUBLE, 'weak'), (0.3, 'moderate'), (0.5, 'strong'), (0.7, 'strong'), (0.71, 'very strong')) t(score, band)")
+@query("""SELECT p_partkey, p_size / 50.0::DOUBLE AS score, CASE WHEN p_size < 15 THEN 'weak' WHEN p_size < 25 THEN 'moderate' WHEN p_size <= 35 THEN 'strong' ELSE 'very strong' END AS band FROM part""")
 def quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [(x,) for x in (0.1, 0.3, 0.5, 0.7, 0.71)], "score double").select("score", R.quality_band(F.col("score")).alias("band"))
+    """The sizes of parts, of 50, as scores."""
+    scores = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") / 50.0).alias("score"))
+    return scores.withColumn("band", R.quality_band(F.col("score")))
 
 
 @query(_STAR_SQL + """, top AS (SELECT 'degree' AS metric, id, CAST(degree AS DOUBLE) AS value, row_number() OVER (ORDER BY degree DESC, id) AS rank FROM v UNION ALL
