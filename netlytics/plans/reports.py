@@ -7,10 +7,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..graph import Graph, degrees, durable, with_seq
+from ..graph import Graph, degrees, durable, undirected, with_seq
 from ..operators import statistics as S
 from ..operators.components import connected_components
+from ..operators.paths import sketched_distances
 from ..operators.query import graph_stats
+from ..operators.rewiring import random_like
 
 
 def top_k(values: DataFrame, metrics: list[str], k: int = 10, order: str = "id") -> DataFrame:
@@ -99,6 +101,53 @@ def scale_free(graph: Graph) -> DataFrame:
     return h.agg(F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"), F.count("*").alias("points"))
 
 
+def power_law(graph: Graph) -> DataFrame:
+    """(exponent, cut_off, distance, tail_nodes, points, likelihood_ratio, vuong): a power law fitted to the degrees from the best cut-off on; no row without links.
+
+    For each cut-off the exponent is the likeliest one, 1 + n / sum(ln(x / (cut_off - 1/2))), and its distance the greatest difference of the distributions (Kolmogorov-Smirnov); the
+    cut-off of the smallest distance is taken (Clauset, Shalizi & Newman 2009), the smaller one of equals.  Cut-offs need two different degrees or more above them.
+    ``likelihood_ratio`` is against the likeliest exponential tail: positive where the power law explains the degrees better; ``vuong`` is the
+    normalised ratio, which means something beyond 2 or below -2.
+
+    A histogram has at most 2 sqrt(edges) different degrees, so it may be broadcast, and pairs of a cut-off and a degree are at most four times the edges.
+    """
+    above = Window.orderBy(F.col("degree").desc())  # a row for each degree, not for each node
+    x, c, n = F.col("x").cast("double"), F.col("nodes"), F.col("n").cast("double")
+    h = durable(degree_histogram(graph).where("degree > 0").withColumn("x", F.col("degree")))
+    tails = h.withColumns({"n": F.sum("nodes").over(above), "logs": F.sum(c * F.ln(x)).over(above), "mean": F.sum(c * x).over(above), "rank": F.row_number().over(above)})
+    tails = durable(tails.select("x", "nodes", "n", "logs", "mean", "rank"))
+    low = F.col("cut_off") - 0.5
+    cuts = tails.where("rank > 1").select(F.col("x").alias("cut_off"), F.col("n").alias("tail_nodes"), F.col("rank").alias("points"), "logs", "mean")
+    cuts = cuts.withColumn("exponent", 1 + F.col("tail_nodes") / (F.col("logs") - F.col("tail_nodes") * F.ln(low))).repartition("cut_off")
+    # Shares of the tail at x and above, and above x: the steps of the distribution on both sides.
+    model = F.pow((F.col("x") - 0.5) / low, 1 - F.col("exponent"))
+    beyond = F.pow((F.col("x") + 0.5) / low, 1 - F.col("exponent"))
+    gap = F.greatest(F.abs(n / F.col("tail_nodes") - model), F.abs((n - c) / F.col("tail_nodes") - beyond))
+    fits = cuts.join(F.broadcast(tails.select("x", "nodes", "n")), F.col("x") >= F.col("cut_off")).groupBy("cut_off", "exponent", "tail_nodes", "points", "logs", "mean").agg(F.max(gap).alias("distance"))
+    best = durable(fits.orderBy(F.round("distance", 12), "cut_off").limit(1))
+    rate = F.col("tail_nodes") / (F.col("mean") - F.col("tail_nodes") * low)
+    gain = F.ln((F.col("exponent") - 1) / low) - F.col("exponent") * F.ln(x / low) - F.ln(F.col("rate")) + F.col("rate") * (x - low)
+    tail = best.withColumn("rate", rate).join(h.select("x", "nodes"), F.col("x") >= F.col("cut_off")).withColumn("gain", gain)
+    told = tail.groupBy("exponent", "cut_off", "distance", "tail_nodes", "points").agg(F.sum(c * F.col("gain")).alias("likelihood_ratio"), F.sum(c * F.col("gain") * F.col("gain")).alias("squares"))
+    total, ratio = F.col("tail_nodes").cast("double"), F.col("likelihood_ratio")
+    return told.withColumn("vuong", ratio / F.sqrt(F.col("squares") - ratio * ratio / total)).drop("squares")
+
+
+def small_world_sample(graph: Graph, rounds: int = 10, seed: int = 0) -> dict:
+    """Clustering and path length beside those of a random graph with the same degrees that is made, not assumed: ``small_world`` knows only closed forms.
+
+    ``sigma`` is the ratio of the ratios (Humphries & Gurney 2008): far above 1 in small worlds.  Path lengths are sketched; ``changed`` is the share of edges that were moved.
+    """
+    links = undirected(graph).where("s < t")
+    random = random_like(graph, rounds, seed).checkpoint()
+    of = lambda g: (S.clustering(g).agg(F.coalesce(F.avg("clustering"), F.lit(0.0))).first()[0], sketched_distances(g)[1]["average_path_length"])
+    (c, l), (rc, rl) = of(graph), of(random)
+    edges = random.edges.count()
+    same = random.edges.select(F.col("source").alias("s"), F.col("target").alias("t")).join(links, ["s", "t"], "left_semi").count()
+    sigma = (c / rc) / (l / rl) if rc and l and rl else None
+    return {"clustering": c, "random_clustering": rc, "path_length": l, "random_path_length": rl, "sigma": sigma, "changed": 1 - same / edges if edges else 0.0}
+
+
 def structural_report(graph: Graph, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A one-row summary, and the top five by degree, betweenness and PageRank."""
     g, _ = S.compute_degree(graph)
