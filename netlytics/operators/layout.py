@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, GraphError, degrees, durable, start_position, with_seq
+from ..graph import Graph, GraphError, degrees, durable, edge_frame, node_frame, start_position, with_seq
 
 EXACT_NODES, MAX_CELLS = 2000, 1 << 16
 
@@ -234,17 +234,35 @@ def _push(levels: list[np.ndarray], width: float, theta: float, force, sizes: bo
     return run
 
 
+class _Steps:
+    """Lengths of steps that follow the energy (Hu 2005): shorter when it rises, longer after five falls in a row; at rest when no node goes further than ``least``."""
+
+    def __init__(self, first: float, ratio: float, least: float):
+        self.now, self.ratio, self.least, self.energy, self.falls = first, ratio, least, math.inf, 0
+
+    def told(self, energy: float) -> None:
+        self.falls = self.falls + 1 if energy < self.energy else 0
+        if not self.falls:
+            self.now *= self.ratio
+        elif self.falls >= 5:
+            self.falls, self.now = 0, self.now / self.ratio
+        self.energy = energy
+
+
 def _forces(
-    graph: Graph, iterations: int, attract, repel, gravity: float, stop, *, cool=None, jitter: float = 1.0, weight: float = 0.0, mass=None, strong: bool = False, theta: float = 1.2, tree: bool = True, by_source: bool = False, sizes: bool = False
+    graph: Graph, iterations: int, attract, repel, gravity: float, stop, *, cool=None, steps: _Steps | None = None, jitter: float = 1.0, weight: float = 0.0, mass=None, strong: bool = False, theta: float = 1.2, tree: bool = True, by_source: bool = False, sizes: bool = False
 ) -> Graph:
     """Rounds of pushes, pulls along edges and a pull to the centre.
 
-    With ``cool``, ``cool(i)`` bounds a node's way in round i.  Without it nodes have speeds of their own (Jacomy et al. 2014): a node
+    With ``cool``, ``cool(i)`` bounds a node's way in round i; with ``steps`` its present length does, and the rounds end when the nodes are at rest.  Without both nodes have speeds of their own (Jacomy et al. 2014): a node
     that swings, whose force turns from round to round, slows down, and the speed of all follows the ratio of traction to swinging.
     """
     d = degrees(graph).select("id", (F.col("degree") + 1.0).alias("mass"))
     start = graph.nodes.select("id", *[F.coalesce(c, F.lit(0.0)).cast("double").alias(c) for c in ("x", "y", "size")])
-    start = start.join(d, "id") if mass is None else start.withColumn("mass", F.lit(mass))
+    if isinstance(mass, str):
+        start = start.join(graph.nodes.select("id", F.col(mass).cast("double").alias("mass")), "id")
+    else:
+        start = start.join(d, "id") if mass is None else start.withColumn("mass", F.lit(mass))
     state = durable(start.select("id", "x", "y", "size", "mass", F.lit(0.0).alias("fx0"), F.lit(0.0).alias("fy0")))
     n = state.count()
     if not tree and n > EXACT_NODES:
@@ -270,7 +288,12 @@ def _forces(
         fy = F.col("py") + F.coalesce("fy", F.lit(0.0)) - F.col("y") * g
         moved = durable(pushed.join(pulls, "id", "left").select("id", "x", "y", "size", "mass", "fx0", "fy0", fx.alias("fx"), fy.alias("fy")))
         length = F.greatest(F.sqrt(F.pow("fx", F.lit(2)) + F.pow("fy", F.lit(2))), F.lit(1e-9))
-        if cool is not None:
+        rest = False
+        if steps is not None:
+            energy, furthest = moved.agg(F.sum(length * length), F.max(F.least(length, F.lit(steps.now)))).first()
+            factor, rest = F.least(F.lit(1.0), F.lit(steps.now) / length), furthest < steps.least
+            steps.told(energy)
+        elif cool is not None:
             factor = F.least(F.lit(1.0), F.lit(cool(i)) / length)
         else:
             swing = F.sqrt(F.pow(F.col("fx") - F.col("fx0"), 2) + F.pow(F.col("fy") - F.col("fy0"), 2))
@@ -280,30 +303,119 @@ def _forces(
             own = F.lit(speed) / (1.0 + F.lit(speed) * F.sqrt(swing))
             factor = F.least(own, 10.0 / length) if sizes else own
         state = moved.select("id", (F.col("x") + F.col("fx") * factor).alias("x"), (F.col("y") + F.col("fy") * factor).alias("y"), "size", "mass", F.col("fx").alias("fx0"), F.col("fy").alias("fy0"))
+        if rest:
+            break
     return _set(graph, state)
 
 
+def matched(links: DataFrame, rounds: int = 3) -> DataFrame:
+    """(id, group): nodes of the (s, t, w) links, there in both directions, in groups by heavy edges; a group has the least name of its first two nodes.
+
+    An edge that is the heaviest at both of its ends, by a hash among equals, makes a pair; so all such edges are found at once, without locks, in a minimum by
+    node and a join.  After some rounds nodes without a partner go with the neighbour of their heaviest edge into a pair: stars shrink, too.
+    """
+    links = durable(links.withColumn("h", F.xxhash64(F.least("s", "t"), F.greatest("s", "t"))))
+    left, found = links, None
+    for _ in range(rounds):
+        best = left.groupBy("s").agg(F.max(F.struct("w", "h", "t")).alias("b")).select("s", F.col("b.t").alias("t"))
+        met = durable(best.join(best.select(F.col("s").alias("t"), F.col("t").alias("s")), ["s", "t"]).select(F.col("s").alias("id"), F.least("s", "t").alias("group")))
+        found = met if found is None else found.unionByName(met)
+        left = durable(left.join(met.select(F.col("id").alias("s")), "s", "left_anti").join(met.select(F.col("id").alias("t")), "t", "left_anti").select("s", "t", "w", "h"))
+        if left.isEmpty():
+            break
+    alone = links.join(found.select(F.col("id").alias("s")), "s", "left_anti").join(found.select(F.col("id").alias("t"), "group"), "t")
+    return found.unionByName(alone.groupBy(F.col("s").alias("id")).agg(F.max(F.struct("w", "h", "group"))["group"].alias("group")))
+
+
+def yifan_hu(graph: Graph, c: YifanHu, iterations: int, stop, smallest: int = 50, wider: float = math.sqrt(7 / 4)) -> Graph:
+    """Coarse graphs first (Hu 2005): heavy edges are contracted until ``smallest`` nodes are left, or a level has over 0.8 of the nodes below it.
+
+    The coarsest graph starts from repeatable places, each finer one from those of its groups, with edges at rest shorter by ``wider``; the last step of all is
+    the graph itself.  Each level ends when its nodes are at rest (no way over a thousandth of an edge), or after half of the rounds that are left; the graph itself may use all of them.
+    """
+    edges = graph.edges.where("source <> target").select(F.col("source").alias("s"), F.col("target").alias("t"), "weight")
+    links = edges.unionByName(edges.select(F.col("t").alias("s"), F.col("s").alias("t"), "weight")).groupBy("s", "t").agg(F.sum("weight").alias("w"))
+    nodes, n = graph.nodes.select("id", F.lit(1.0).alias("mass")), graph.nodes.count()
+    levels, groups = [], []
+    while n > smallest:
+        links = durable(links)
+        if links.isEmpty():
+            break
+        group = durable(nodes.select("id").join(matched(links), "id", "left").select("id", F.coalesce("group", "id").alias("group")))
+        coarse = durable(nodes.join(group, "id").groupBy(F.col("group").alias("id")).agg(F.sum("mass").alias("mass")))
+        before, n = n, coarse.count()
+        if n > 0.8 * before:
+            break
+        a, b = group.toDF("s", "gs"), group.toDF("t", "gt")
+        links = durable(links.join(a, "s").join(b, "t").where("gs <> gt").groupBy(F.col("gs").alias("s"), F.col("gt").alias("t")).agg(F.sum("w").alias("w")))
+        nodes = coarse
+        levels.append((nodes, links))
+        groups.append(group)
+    left, taken, places = iterations, [0], None
+
+    def settle(g: Graph, k: float, rounds: int, mass) -> Graph:
+        def counted():
+            if not stop():
+                taken[0] += 1
+            return stop()
+
+        return _forces(g, rounds, lambda d: d * d / k, lambda d, m, cell: c.relativeStrength * k * k * cell / d, 0.0, counted, steps=_Steps(c.initialStep * k / c.optimalDistance, c.stepRatio, k / 1000), mass=mass, theta=c.barnesHutTheta)
+
+    for depth in range(len(levels), 0, -1):
+        nodes, links = levels[depth - 1]
+        k = c.optimalDistance * wider**depth
+        at = nodes.select("id", "mass", F.lit(0).cast("long").alias("seq"), start_position(F.col("id"), "x").alias("x"), start_position(F.col("id"), "y").alias("y"))
+        if places is not None:
+            at = _spread_out(at.drop("x", "y"), groups[depth], places, k)
+        g = Graph(node_frame(at), edge_frame(links.where("s < t").select(F.lit(0).cast("long").alias("seq"), F.col("s").alias("source"), F.col("t").alias("target"), F.col("w").alias("weight"))))
+        taken[0] = 0
+        places = durable(settle(g.checkpoint(), k, max(1, left // 2), "mass").nodes.select("id", "x", "y"))
+        left = max(1, left - taken[0])
+    if places is not None:
+        graph = _set(graph, _spread_out(graph.nodes.select("id"), groups[0], places, c.optimalDistance)).checkpoint()
+    return settle(graph, c.optimalDistance, left, 1.0)
+
+
+def _spread_out(nodes: DataFrame, group: DataFrame, places: DataFrame, k: float) -> DataFrame:
+    """``nodes`` with the places of their groups, each moved by up to a tenth of an edge so that none lie on each other."""
+    moved = nodes.join(group, "id").join(places.toDF("group", "gx", "gy"), "group").drop("group")
+    return moved.withColumns({a: (F.col(f"g{a}") + start_position(F.col("id"), a) * (k / 5000)).cast("float") for a in ("x", "y")}).drop("gx", "gy")
+
+
+def _overlaps(state: DataFrame) -> DataFrame:
+    """(id, x, y, w, o, ox, oy, ow): for each node (id, x, y, w) all others that are nearer than both half widths, found from both sides.
+
+    Nodes are dealt to grids by their own widths, a power of two each.  A node looks into the nine squares around it in its own grid only, where all
+    nodes as wide or narrower have entered their square.  So one very wide node has nine squares to look into, and does not widen the squares of all others.
+    """
+    level = F.ceil(F.log2(F.greatest("w", F.lit(1e-9)))).cast("int")
+    own = state.withColumn("level", level)
+    levels = [r[0] for r in own.select("level").distinct().collect()]  # at most one for each power of two
+    side = F.pow(F.lit(2.0), F.col("at") + 1)
+    entered = own.withColumn("at", F.explode(F.array(*map(F.lit, sorted(levels))))).where("at >= level").withColumns({"i": F.floor(F.col("x") / side), "j": F.floor(F.col("y") / side)})
+    around = F.explode(F.array(*[F.struct((F.floor(F.col("x") / side) + a).alias("i"), (F.floor(F.col("y") / side) + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    other = own.withColumn("at", F.col("level")).select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), "at", around.alias("c")).select("o", "ox", "oy", "ow", "at", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    pairs = entered.join(other, ["at", "i", "j"]).where("id <> o").where(F.sqrt(dx * dx + dy * dy) < F.col("w") + F.col("ow"))
+    # Nodes of one grid find each other; a wider one is found from the narrower one's side only.
+    there, back = ["id", "x", "y", "w", "o", "ox", "oy", "ow"], ["o", "ox", "oy", "ow", "id", "x", "y", "w"]
+    both = F.when(F.col("at") == F.col("level"), F.array(F.struct(*there))).otherwise(F.array(F.struct(*there), F.struct(*[F.col(a).alias(b) for a, b in zip(back, there, strict=True)])))
+    return pairs.select(F.explode(both).alias("pair")).select("pair.*")
+
+
 def _apart(graph: Graph, iterations: int, reach, speed: float, stop) -> Graph:
-    """Overlapping neighbours step apart: only pairs in the same or adjoining squares of a grid as wide as the greatest node are looked at."""
+    """Overlapping nodes step apart, until none overlap."""
     boxes = graph.nodes.select("id", F.coalesce("x", F.lit(0.0)).cast("double").alias("x"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y"), reach.alias("w"))
     state = durable(boxes)
-    wide = state.agg(F.max("w")).first()[0]
-    if not wide:
-        return graph
-    step = 2.0 * wide
     for _ in range(iterations):
         if stop():
             break
-        own = state.withColumns({"i": F.floor(F.col("x") / step), "j": F.floor(F.col("y") / step)})
-        around = F.explode(F.array(*[F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        other = own.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("w").alias("ow"), around.alias("c")).select("o", "ox", "oy", "ow", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
         dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
         dist = F.sqrt(dx * dx + dy * dy)
-        pairs = own.join(other, ["i", "j"]).where("id <> o").where(dist < F.col("w") + F.col("ow"))
         away = (F.col("w") + F.col("ow") - dist) / 2.0 * min(1.0, speed)
         turn = F.when(F.col("id") < F.col("o"), 1.0).otherwise(-1.0)
         ux, uy = F.when(dist > 1e-6, dx / dist).otherwise(turn), F.when(dist > 1e-6, dy / dist).otherwise(0.0)
-        moves = durable(pairs.groupBy("id").agg(F.avg(ux * away).alias("mx"), F.avg(uy * away).alias("my")))
+        moves = durable(_overlaps(state).groupBy("id").agg(F.avg(ux * away).alias("mx"), F.avg(uy * away).alias("my")))
         if moves.isEmpty():
             break
         state = durable(state.join(moves, "id", "left").select("id", (F.col("x") + F.coalesce("mx", F.lit(0.0))).alias("x"), (F.col("y") + F.coalesce("my", F.lit(0.0))).alias("y"), "w"))
@@ -335,8 +447,7 @@ def run_layout(graph: Graph, algorithm: str, iterations: int = 1000, properties:
             graph, n, pull, repel, c.gravity, stop, jitter=c.jitterTolerance, weight=c.edgeWeightInfluence, strong=c.strongGravityMode,
             theta=c.barnesHutTheta, tree=c.barnesHutOptimize, by_source=c.outboundAttractionDistribution, sizes=c.adjustSizes,
         )
-    k = c.optimalDistance
-    return _forces(graph, n, lambda d: d * d / k, lambda d, m, cell: c.relativeStrength * k * k * cell / d, 0.0, stop, cool=lambda i: c.initialStep * c.stepRatio**i, mass=1.0, theta=c.barnesHutTheta)
+    return yifan_hu(graph, c, n, stop)
 
 
 class LayoutJob:

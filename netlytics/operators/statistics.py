@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph, GraphError, degrees, durable, flow, undirected
 from .communities import compute_modularity, louvain, modularity_score
 from .components import connected_components
+from .sampling import sampled_betweenness
 
 __all__ = ["compute_modularity", "louvain", "modularity_score"]
 
@@ -247,7 +248,11 @@ def distances(graph: Graph, directed: bool = False, normalized: bool = True, sam
     return out, {"average_path_length": row[0] / row[1] if row[1] else 0.0, "diameter": row[2] or 0, "radius": row[3] or 0}
 
 
-def compute_betweenness(graph: Graph, **options) -> tuple[Graph, dict]:
+def compute_betweenness(graph: Graph, error: float | None = None, **options) -> tuple[Graph, dict]:
+    """With ``error`` betweenness alone, from sampled pairs, none off by more (see :func:`~netlytics.operators.sampling.sampled_betweenness`)."""
+    if error is not None:
+        values, told = sampled_betweenness(graph, error, **options)
+        return _add(graph, values, ["betweenesscentrality"]), told
     values, scalars = distances(graph, **options)
     return _add(graph, values, _DISTANCE_COLUMNS), scalars
 

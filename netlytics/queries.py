@@ -17,6 +17,8 @@ from .operators import preview as P
 from .operators import query as Q
 from .operators import statistics as S
 from .operators.components import strong_components as strong_parts
+from .operators.rewiring import random_like
+from .operators.sampling import sampled_betweenness
 from .plans import reports as R
 from .sources import tables as IO
 
@@ -463,6 +465,39 @@ def scale_free_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scale_free(copurchase(spark, sf_dir)).select(F.round("slope", 8).alias("slope"), "points")
 
 
+@query(_copurchase("""
+h AS (SELECT degree::DOUBLE AS x, count(*)::DOUBLE AS c FROM deg GROUP BY degree),
+tails AS (SELECT a.x, a.c, sum(b.c) AS n, sum(b.c * ln(b.x)) AS logs, sum(b.c * b.x) AS mean, count(*) AS points FROM h a JOIN h b ON b.x >= a.x GROUP BY a.x, a.c),
+cuts AS (SELECT x AS cut, n AS total, logs, mean, points, 1 + n / (logs - n * ln(x - 0.5)) AS a FROM tails WHERE points > 1),
+fits AS (SELECT cut, a, total, cuts.points, cuts.mean, max(greatest(abs(n / total - ((x - 0.5) / (cut - 0.5)) ^ (1 - a)), abs((n - c) / total - ((x + 0.5) / (cut - 0.5)) ^ (1 - a)))) AS distance
+         FROM cuts JOIN tails ON x >= cut GROUP BY cut, a, total, cuts.points, cuts.mean),
+best AS (SELECT *, total / (mean - total * (cut - 0.5)) AS rate FROM fits ORDER BY round(distance, 12), cut LIMIT 1),
+gains AS (SELECT best.*, c, ln((a - 1) / (cut - 0.5)) - a * ln(x / (cut - 0.5)) - ln(rate) + rate * (x - cut + 0.5) AS g FROM best JOIN h ON x >= cut)""", """
+SELECT round(a, 7) AS exponent, CAST(cut AS BIGINT) AS cut_off, round(distance, 7) AS distance, CAST(total AS BIGINT) AS tail_nodes, round(sum(c * g), 5) AS likelihood_ratio,
+round(sum(c * g) / sqrt(sum(c * g * g) - sum(c * g) ^ 2 / total), 5) AS vuong FROM gains GROUP BY a, cut, distance, total"""))
+def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = lambda c, k: F.round(c, k).alias(c)
+    return R.power_law(copurchase(spark, sf_dir)).select(rounded("exponent", 7), F.col("cut_off").cast("long"), rounded("distance", 7), "tail_nodes", rounded("likelihood_ratio", 5), rounded("vuong", 5))
+
+
+@query(_copurchase("", "SELECT CAST(id AS VARCHAR) AS id, degree, TRUE AS simple FROM deg"))
+def rewired_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The degrees of a random graph made by edge swaps are those of the co-purchase graph; it has no loops and no edge twice."""
+    g = random_like(copurchase(spark, sf_dir), rounds=3).checkpoint()
+    wrong = g.edges.groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1 OR source >= target").limit(1).agg((F.count("*") == 0).alias("simple"))
+    return degrees(g).select("id", "degree").join(F.broadcast(wrong))
+
+
+@query(_copurchase("", "SELECT CAST(id AS VARCHAR) AS id, TRUE AS holds, TRUE AS promised FROM n"))
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled betweenness beside exact one: each node within the error told for it, and that within the error asked for."""
+    g = copurchase(spark, sf_dir).checkpoint()
+    about, told = sampled_betweenness(g, error=0.05)
+    exact = S.distances(g)[0].select("id", F.col("betweenesscentrality").alias("b"))
+    off = F.abs(F.col("betweenesscentrality") - F.col("b"))
+    return about.join(exact, "id").select("id", (off <= F.col("error")).alias("holds"), (F.col("error") <= told["error"] + 1e-9).alias("promised"))
+
+
 @query("""WITH t AS (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events)
 SELECT source, target, CAST(count(*) AS DOUBLE) AS weight FROM t WHERE target IS NOT NULL GROUP BY 1, 2""")
 def event_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
