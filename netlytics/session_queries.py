@@ -497,17 +497,20 @@ _STARS = "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) A
 
 
 def _by_forces(spark: SparkSession, sf_dir: str, algorithm: str, rounds: int, **properties) -> DataFrame:
-    """Whether linked nodes end nearer to each other than others, on average: nations around their regions."""
+    """Whether linked nodes end nearer to each other than all do, on average: nations around their regions."""
     g = L.run_layout(membership(spark, sf_dir), algorithm, rounds, properties)
-    at = g.nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).toPandas().set_index("id")
-    links = {tuple(r) for r in g.edges.select("source", "target").collect()}
-    near, far = [], []
-    for i, a in enumerate(at.index):
-        for b in at.index[:i]:
-            d = ((at.x[a] - at.x[b]) ** 2 + (at.y[a] - at.y[b]) ** 2) ** 0.5
-            (near if (a, b) in links or (b, a) in links else far).append(d)
-    finite = bool(at.x.abs().max() < 1e6 and at.y.abs().max() < 1e6)
-    return _rows(spark, [(len(at), finite, bool(sum(near) / len(near) < 0.7 * sum(far) / len(far)))], "nodes long, finite boolean, linked_nearer boolean")
+    return _linked_nearer(g)
+
+
+def _linked_nearer(g: Graph) -> DataFrame:
+    """Root mean squares of the distances of links and of all pairs; the latter from sums of coordinates, without pairs."""
+    at = g.nodes.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    ends = g.edges.where("source <> target").select("source", "target").join(at.toDF("source", "sx", "sy"), "source").join(at.toDF("target", "tx", "ty"), "target")
+    links = ends.agg(F.avg(F.pow(F.col("sx") - F.col("tx"), 2) + F.pow(F.col("sy") - F.col("ty"), 2)).alias("near"))
+    n = F.col("nodes").cast("double")
+    sums = at.agg(F.count("*").alias("nodes"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("most"), F.avg(F.pow("x", F.lit(2)) + F.pow("y", F.lit(2))).alias("squares"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    every = 2 * (F.col("squares") - F.col("mx") ** 2 - F.col("my") ** 2) * n / (n - 1)
+    return sums.join(links).select("nodes", (F.col("most") < 1e6).alias("finite"), (F.col("near") < 0.49 * every).alias("linked_nearer"))
 
 
 @query(_STARS)
@@ -525,6 +528,12 @@ def yifan_hu_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_forces(spark, sf_dir, "Yifan Hu", 20)
 
 
+@query(_copurchase("", "SELECT count(*) AS nodes, TRUE AS finite, TRUE AS linked_nearer FROM n"))
+def yifan_hu_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of the whole co-purchase graph, 12 rounds in all."""
+    return _linked_nearer(L.run_layout(L.run_layout(copurchase(spark, sf_dir), "random"), "Yifan Hu", 12))
+
+
 @query(_trade("", "SELECT count(*) AS nodes, TRUE AS inside, TRUE AS repeatable, count(*) AS places FROM n"))
 def random_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = trade(spark, sf_dir)
