@@ -7,14 +7,17 @@
    elements in any common order.  In the order rarest first, a document whose first elements are all
    unique has no partner; that ends the search for most documents.
 3. The others deal out their remaining first elements.  Documents that share one are candidates; the
-   candidates' connected components hold all links, as each link is a candidate pair.
+   candidates' connected components hold all links, as each link is a candidate pair.  Texts of a common vocabulary share
+   elements by chance, the more the larger the corpus: the documents of components over ``max_group`` count all elements of their sets among
+   themselves and choose first elements anew, again and again as long as that leaves fewer of them.
 4. Components are only the routing: partitions hold many whole ones, and are joined with themselves by signature trees over
    the whole sets of all their documents.  Nodes hold the OR of their
    members' token bitmaps and their size range, pairs of nodes are traversed together and pruned when
    the greatest overlap that bitmaps and sizes allow is too small, or when all members of both are known
-   to be connected.  What is left is compared exactly.  A component of more than ``max_group`` documents
+   to be connected.  What is left is compared exactly.  A component that is still of more than ``max_group`` documents (or ``max_bytes``)
    is cut into blocks which share some pivots; documents that then are not connected to the component's
-   main part are compared with every block.  No pair is left out.
+   main part are compared, a block of them at a time, with every block of sizes that a link allows.  No pair is left out, and no
+   tree has more than two blocks, whatever the component.
 
 Links are exact on sets of 64-bit hashes.  Texts that are null, or have no word, have empty sets and no links;
 texts with fewer words than a shingle are one shingle, the whole sequence.  A text's length has no bound, an empty
@@ -27,6 +30,8 @@ smallest id is null only if no document in it has one.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -144,28 +149,86 @@ def _shared(batches):
         yield out(*held, np.full(len(held[0]), _HOT))
 
 
+def _prefix(s: np.ndarray, hs, cs, universe: int, num: int, den: int) -> np.ndarray:
+    """The first elements of a set in the common order without those in one set only; ``hs`` are the others of the counted ones, with their classes."""
+    cls = np.where(_counted(s, universe), 0, _UNKNOWN)
+    h = np.array(hs.as_py() or [], np.int64).view(U64)
+    cls[np.searchsorted(s, h)] = np.array(cs.as_py() or [], np.int64)
+    order = np.lexsort((s, cls))[: prefix_length(len(s), num, den)]
+    return signed(s[order][cls[order] > 0])
+
+
 def _prefixes(k: int, universe: int, num: int, den: int):
-    """(doc, n, set, prefix): the first elements in the common order without those in one set only."""
+    """(doc, n, set, prefix)"""
 
     def run(batches):
         for batch in batches:
             docs, ns, sets, prefixes = [], [], [], []
             for doc, value, hs, cs in zip(*batch.columns, strict=True):
                 s = shingle_set(text_bytes(value), k)
-                cls = np.where(_counted(s, universe), 0, _UNKNOWN)
-                h = np.array(hs.as_py() or [], np.int64).view(U64)
-                cls[np.searchsorted(s, h)] = np.array(cs.as_py() or [], np.int64)
-                p = prefix_length(len(s), num, den)
-                order = np.lexsort((s, cls))[:p]
                 docs.append(doc.as_py())
                 ns.append(len(s))
                 sets.append(s.tobytes())
-                prefixes.append(signed(s[order][cls[order] > 0]))
+                prefixes.append(_prefix(s, hs, cs, universe, num, den))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "n", "elements", "prefix"])
 
     return run
 
 
+def _set_elements(batches):
+    """(h, doc) of all elements of sets (doc, elements)."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
+        docs = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([np.zeros(0, U64), *sets]))), pa.array(docs)], names=["h", "doc"])
+
+
+def _set_prefixes(num: int, den: int):
+    """(doc, prefix) of sets (doc, elements, hs, cs) of which all elements were counted."""
+
+    def run(batches):
+        for batch in batches:
+            prefixes = [_prefix(np.frombuffer(x.as_buffer(), U64), hs, cs, 1, num, den) for x, hs, cs in zip(*batch.columns[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "prefix"])
+
+    return run
+
+
+def _shared_elements(elements: DataFrame, tag: str) -> DataFrame:
+    """(doc, h, cls) of the elements (h, doc) that several documents have."""
+    dealt = elements.repartitionByRange(shuffle_partitions(elements.sparkSession), "h", "doc").sortWithinPartitions("h", "doc")
+    return materialize(dealt.mapInArrow(_shared, "doc long, h long, cls int"), tag)
+
+
+def _components(prefixes: DataFrame, tag: str) -> DataFrame:
+    """(node, component, size): the documents (doc, prefix) that share a first element with another one."""
+    postings = prefixes.select("doc", F.explode("prefix").alias("h"))
+    leaders = postings.groupBy("h").agg(F.min("doc").alias("b"), F.count("*").alias("c")).where("c > 1").select("h", "b")
+    edges = postings.join(leaders, "h").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+    found = connected_components(edges, tag)
+    return materialize(found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size"), tag)
+
+
+def _narrow(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_group: int) -> DataFrame:
+    """The candidates (node, component, size) without those that only share elements by chance with others of their large components.
+
+    Partners are in one component.  So a set has a partner only if ``num / den`` of its elements are in other sets of large components, too.
+    """
+    before = None
+    while True:
+        large = candidates.where(F.col("size") > max_group)
+        n = large.count()
+        if not n or before is not None and n > 0.9 * before:
+            return candidates
+        before = n
+        some = materialize(sets.join(large.select(F.col("node").alias("doc")), "doc").select("doc", "elements"), "large-sets")
+        shared = _shared_elements(some.mapInArrow(_set_elements, "h long, doc long"), "large-shared")
+        lists = shared.groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("cls").alias("cs"))
+        prefixes = some.join(lists, "doc").select("doc", "elements", "hs", "cs").mapInArrow(_set_prefixes(num, den), "doc long, prefix array<long>")
+        again = _components(materialize(prefixes, "large-prefixes"), "narrowed")
+        candidates = candidates.where(F.col("size") <= max_group).unionByName(again)
+
+
 # ---------------------------------------------------------------- the signature tree
 
 
@@ -179,11 +242,13 @@ class SignatureTree:
         width = 256
         while width < 4 * self.sizes.max() and width < 1 << 16:
             width *= 2
-        self.bits = np.zeros((len(sets), width), bool)
-        for row, s in zip(self.bits, self.sets, strict=True):
-            row[(s % U64(width)).astype(np.int64)] = True
-        double = self.sizes - self.bits.sum(1)
-        self.bits = np.packbits(self.bits, axis=1).view(U64)
+        packed = np.zeros((len(sets), width // 8), np.uint8)
+        for row, s in zip(packed, self.sets, strict=True):
+            bits = np.zeros(width, bool)
+            bits[(s % U64(width)).astype(np.int64)] = True
+            row[:] = np.packbits(bits)
+        self.bits = packed.view(U64)
+        double = self.sizes - np.bitwise_count(self.bits).sum(1).astype(np.int64)
         bounds = list(range(0, len(sets), leaf)) + [len(sets)]
         self.levels = []
         low, high, most, bits = self.sizes, self.sizes, double, self.bits
@@ -261,10 +326,17 @@ def linked_labels(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray
         first, last = (starts, np.array(bounds[1:])) if not depth else (np.arange(len(low)) * fan, np.minimum((np.arange(len(low)) + 1) * fan, len(levels[depth - 1][1])))
         wide = int((last - first).max())
         x, y = (g.ravel() for g in np.meshgrid(np.arange(wide), np.arange(wide), indexing="ij"))
-        left, right = first[a][:, None] + x, first[b][:, None] + y
-        ok = (left < last[a][:, None]) & (right < last[b][:, None]) & ((left < right) if not depth else (left <= right))
-        a, b = left[ok], right[ok]
-    compare(a, b)
+
+        def parts(a, b):
+            left, right = first[a][:, None] + x, first[b][:, None] + y
+            ok = (left < last[a][:, None]) & (right < last[b][:, None]) & ((left < right) if not depth else (left <= right))
+            return left[ok], right[ok]
+
+        if depth:
+            a, b = parts(a, b)
+        else:  # most pairs are here
+            for k in range(0, len(a), _CHUNK):
+                compare(*parts(a[k : k + _CHUNK], b[k : k + _CHUNK]))
     out = np.empty_like(label)
     out[tree.order] = label
     return out
@@ -312,30 +384,44 @@ def _solve(groups: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.sortWithinPartitions("key", "part", "doc").mapInArrow(_verify(num, den), "a long, b long")
 
 
-def _search(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_group: int, pivots: int) -> DataFrame:
+def _blocks(size, n, max_group: int, max_bytes: int):
+    """How many blocks ``size`` sets of together ``n`` elements make."""
+    return F.ceil(F.greatest(size / max_group, 8 * n / max_bytes)).cast("int")
+
+
+def _search(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_group: int, max_bytes: int, pivots: int) -> DataFrame:
     """(node, component) of the linked documents among the candidates (node, component)."""
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    member = candidates.join(sizes, "component").select(F.col("node").alias("doc"), F.col("component").alias("key"), "size")
-    grouped = sets.select("doc", "elements").join(member, "doc")
-    blocks = F.ceil(F.col("size") / max_group).cast("int")
-    part = F.when(F.col("size") > max_group, F.pmod(F.xxhash64("doc"), blocks).cast("int")).otherwise(F.lit(0))
-    grouped = materialize(grouped.select("key", "doc", "elements", "size", blocks.alias("blocks"), part.alias("part"), F.col("doc").alias("label")), "groups")
-    large = grouped.where(F.col("size") > max_group)
+    member = candidates.select(F.col("node").alias("doc"), F.col("component").alias("key"))
+    sizes = sets.select("doc", "n").join(member, "doc").groupBy("key").agg(F.count("*").alias("size"), _blocks(F.count("*"), F.sum("n"), max_group, max_bytes).alias("blocks"))
+    grouped = sets.select("doc", "n", "elements").join(member.join(sizes, "key"), "doc")
+    part = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).otherwise(F.lit(0))
+    grouped = materialize(grouped.select("key", "doc", "n", "elements", "size", "blocks", part.alias("part"), F.col("doc").alias("label")), "groups")
+    large = grouped.where("blocks > 1")
     if large.isEmpty():
-        return connected_components(_solve(grouped, num, den), "links")
+        return connected_components(materialize(_solve(grouped, num, den), "first"), "links")
     # Some documents of each large component, chosen by hash, join all its blocks.
+    row = ["key", "part", "doc", "label", "elements"]
     chance = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("size")) < pivots
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")
     shared = large.where(chance).select("key", everywhere, "doc", "label", "elements")
-    first = materialize(_solve(grouped.select("key", "part", "doc", "label", "elements").unionByName(shared), num, den), "first")
+    first = materialize(_solve(grouped.select(*row).unionByName(shared), num, den), "first")
     known = connected_components(first, "blocks").select(F.col("node").alias("doc"), F.col("component").alias("known"))
-    large = large.join(known, "doc", "left").withColumn("label", F.coalesce("known", "doc")).drop("known")
+    # Sizes that a link allows are in the same band or in neighbouring ones.
+    band = F.floor(F.log("n") / (1.0001 * max(math.log(den / num), 0.01))).cast("int").alias("band")
+    large = large.join(known, "doc", "left").select("key", "doc", "n", "elements", band, F.coalesce("known", "doc").alias("label"))
     counts = large.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     large = materialize(large.join(main, "key"), "large")
-    rest = large.where("label <> main").select("key", everywhere, "doc", "label", "elements")
-    again = large.join(rest.select("key").distinct(), "key", "left_semi").select("key", "part", "doc", "label", "elements").unionByName(rest)
-    return connected_components(first.unionByName(_solve(again, num, den)), "links")
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    rest = large.where("label <> main").select("key", "doc", "n", "elements", near, "label")
+    count = lambda df, name: df.groupBy("key", "band").agg(_blocks(F.count("*"), F.sum("n"), max_group, max_bytes).alias(name))
+    strata = count(large, "many").join(count(rest, "few"), ["key", "band"])
+    each = lambda name, number: F.explode(F.sequence(F.lit(0), F.col(number) - 1)).alias(name)
+    own = lambda name, number: F.pmod(F.xxhash64("doc", F.lit(2)), F.col(number)).cast("int").alias(name)
+    pair = F.shiftleft(F.col("band").cast("long"), 40) + F.shiftleft(F.col("i").cast("long"), 20) + F.col("j")
+    sides = [df.join(strata, ["key", "band"]).select("key", "band", "doc", "label", "elements", i, j) for df, i, j in ((large, own("i", "many"), each("j", "few")), (rest, each("i", "many"), own("j", "few")))]
+    again = sides[0].unionByName(sides[1]).withColumn("part", pair).select(*row)
+    return connected_components(first.unionByName(materialize(_solve(again, num, den), "second")), "links")
 
 
 def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -353,13 +439,12 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(names.withColumnRenamed("__id", "component_id"), F.col("component") == F.col("__row")).select(id_col, "n_shingles", "component_id")
 
 
-def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, pivots: int = 16) -> DataFrame:
+def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, max_bytes: int = 16 << 20, pivots: int = 16) -> DataFrame:
     """(doc, n_shingles, component) of rows (doc, text), where ``doc`` is a long that differs in all rows."""
-    spark, named = docs.sparkSession, docs
+    named = docs
     summary = materialize(docs.mapInArrow(_summaries(k, universe), "doc long, n long, f1 long, f2 long, u long"), "summary")
     elements = named.mapInArrow(_elements(k, universe), "h long, doc long")
-    dealt = elements.repartitionByRange(shuffle_partitions(spark), "h", "doc").sortWithinPartitions("h", "doc")
-    shared = materialize(dealt.mapInArrow(_shared, "doc long, h long, cls int"), "shared")
+    shared = _shared_elements(elements, "shared")
 
     # Documents with too few unique elements for a whole prefix, one of each class of equal sets.
     counts = shared.groupBy("doc").agg(F.count("*").alias("c"))
@@ -370,10 +455,8 @@ def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100
     chosen = named.join(ranked.select("doc"), "doc").join(lists, "doc", "left").select("doc", "text", "hs", "cs")
     sets = materialize(chosen.mapInArrow(_prefixes(k, universe, num, den), "doc long, n long, elements binary, prefix array<long>"), "sets")
 
-    postings = sets.select("doc", F.explode("prefix").alias("h"))
-    leaders = postings.groupBy("h").agg(F.min("doc").alias("b"), F.count("*").alias("c")).where("c > 1").select("h", "b")
-    edges = postings.join(leaders, "h").where("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
-    links = _search(sets, connected_components(edges, "candidates"), num, den, max_group, pivots)
+    candidates = _narrow(sets, _components(sets, "candidates"), num, den, max_group)
+    links = _search(sets, candidates, num, den, max_group, max_bytes, pivots)
 
     classes = summary.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("least"))
     label = summary.join(links, F.col("doc") == F.col("node")).select("f1", "f2", "component")

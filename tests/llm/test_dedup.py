@@ -112,6 +112,38 @@ def test_keep_one(docs, texts):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute_components(texts, 4, 85, 100).items() if c == i}
 
 
+def chains_and_passages():
+    """Documents that share elements with many others, but have few links: parts of one long text that overlap by two thirds, and own words around a common passage; some near copies of both."""
+    r = random.Random(9)
+    long = [f"w{r.randrange(10**6)}" for _ in range(2400)]
+    texts = [" ".join(long[i : i + 30 + i // 10 % 40]) for i in range(0, 1500, 10)]
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts += [f"{passage} {' '.join(f'own{i}x{j}' for j in range(24))}" for i in range(60)]
+    return texts + [t + " more" for t in texts[::15]]
+
+
+def test_no_tree_takes_a_whole_large_component(spark, monkeypatch):
+    texts, largest, solve = chains_and_passages(), [], jaccard_join._solve
+
+    def watched(groups, num, den):
+        largest.append(groups.groupBy("key", "part").agg(F.countDistinct("doc").alias("n")).agg(F.max("n")).first()[0])
+        return solve(groups, num, den)
+
+    monkeypatch.setattr(jaccard_join, "_solve", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, k=2, num=85, max_group=16, pivots=2).collect()}
+    assert got == brute_components(texts, 2, 85, 100)
+    assert len(largest) == 2 and max(largest) <= 3 * 16  # two blocks, dealt by hash; there were over 100 documents in a tree
+
+
+@pytest.mark.parametrize("max_bytes", [600, 16 << 20])
+def test_large_components_are_narrowed(spark, max_bytes):
+    texts = chains_and_passages()[150:]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, k=2, num=85, max_group=16, max_bytes=max_bytes, pivots=2).collect()}
+    assert got == brute_components(texts, 2, 85, 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=25), st.sampled_from([50, 80, 85]))
 def test_signature_tree_finds_all_links(sets, num):
