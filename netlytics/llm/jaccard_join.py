@@ -8,7 +8,7 @@
    unique has no partner; that ends the search for most documents.
 3. The others deal out their remaining first elements.  Documents that share one are candidates; the
    candidates' connected components hold all links, as each link is a candidate pair.  Texts of a common vocabulary share
-   elements by chance, the more the larger the corpus: the documents of components over ``max_group`` count all elements of their sets among
+   elements by chance, the more the larger the corpus: the documents of components over ``narrow_over`` count all elements of their sets among
    themselves and choose first elements anew, again and again as long as that leaves fewer of them.
 4. Components are only the routing: partitions hold many whole ones, and are joined with themselves by signature trees over
    the whole sets of all their documents.  Nodes hold the OR of their
@@ -209,14 +209,14 @@ def _components(prefixes: DataFrame, tag: str) -> DataFrame:
     return materialize(found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size"), tag)
 
 
-def _narrow(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_group: int) -> DataFrame:
+def _narrow(sets: DataFrame, candidates: DataFrame, num: int, den: int, narrow_over: int) -> DataFrame:
     """The candidates (node, component, size) without those that only share elements by chance with others of their large components.
 
     Partners are in one component.  So a set has a partner only if ``num / den`` of its elements are in other sets of large components, too.
     """
     before = None
     while True:
-        large = candidates.where(F.col("size") > max_group)
+        large = candidates.where(F.col("size") > narrow_over)
         n = large.count()
         if not n or before is not None and n > 0.9 * before:
             return candidates
@@ -226,7 +226,7 @@ def _narrow(sets: DataFrame, candidates: DataFrame, num: int, den: int, max_grou
         lists = shared.groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("cls").alias("cs"))
         prefixes = some.join(lists, "doc").select("doc", "elements", "hs", "cs").mapInArrow(_set_prefixes(num, den), "doc long, prefix array<long>")
         again = _components(materialize(prefixes, "large-prefixes"), "narrowed")
-        candidates = candidates.where(F.col("size") <= max_group).unionByName(again)
+        candidates = candidates.where(F.col("size") <= narrow_over).unionByName(again)
 
 
 # ---------------------------------------------------------------- the signature tree
@@ -439,7 +439,7 @@ def similar_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(names.withColumnRenamed("__id", "component_id"), F.col("component") == F.col("__row")).select(id_col, "n_shingles", "component_id")
 
 
-def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, max_bytes: int = 16 << 20, pivots: int = 16) -> DataFrame:
+def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, universe: int = 3, max_group: int = 1024, max_bytes: int = 16 << 20, pivots: int = 16, narrow_over: int = 4096) -> DataFrame:
     """(doc, n_shingles, component) of rows (doc, text), where ``doc`` is a long that differs in all rows."""
     named = docs
     summary = materialize(docs.mapInArrow(_summaries(k, universe), "doc long, n long, f1 long, f2 long, u long"), "summary")
@@ -455,7 +455,7 @@ def row_components(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100
     chosen = named.join(ranked.select("doc"), "doc").join(lists, "doc", "left").select("doc", "text", "hs", "cs")
     sets = materialize(chosen.mapInArrow(_prefixes(k, universe, num, den), "doc long, n long, elements binary, prefix array<long>"), "sets")
 
-    candidates = _narrow(sets, _components(sets, "candidates"), num, den, max_group)
+    candidates = _narrow(sets, _components(sets, "candidates"), num, den, narrow_over)
     links = _search(sets, candidates, num, den, max_group, max_bytes, pivots)
 
     classes = summary.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("least"))

@@ -140,7 +140,7 @@ def test_no_tree_takes_a_whole_large_component(spark, monkeypatch):
 def test_large_components_are_narrowed(spark, max_bytes):
     texts = chains_and_passages()[150:]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, k=2, num=85, max_group=16, max_bytes=max_bytes, pivots=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(df, k=2, num=85, max_group=16, max_bytes=max_bytes, pivots=2, narrow_over=16).collect()}
     assert got == brute_components(texts, 2, 85, 100)
 
 
