@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from netlytics.llm import components, jaccard_join, line_dedup, repeats
+from netlytics.llm import components, jaccard_join, line_dedup, queries, repeats
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -191,6 +191,23 @@ def test_remove_repeats(docs, texts, options):
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == brute_repeats(texts, options["length"])
 
 
+def test_suffix_dedup_query(spark, tmp_path):
+    """The contract's columns come first, in its order. Copied passages of over 50 words stay below 400 bytes and go from there on."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice(LOWER) for _ in range(r.randint(3, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short, long, accents = " ".join(r.choice(LOWER) * 4 for _ in range(60)), prose(120), " ".join("é" * r.randint(1, 5) + r.choice(LOWER) for _ in range(60))
+    assert len(short.encode()) < 400 < len(long) and len(accents) < 400 < len(accents.encode())
+    texts = [f"{prose(30)} {p} {prose(30)}" for p in (short, short, long, long, accents, accents)] + [prose(200), short, long[:399], long[1:401], None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op10_suffix_dedup(spark, str(tmp_path))
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = out.collect()
+    assert {x[0]: tuple(x[1:5]) for x in rows} == brute_repeats(texts, 400)
+    assert all(x.n_kept == x.n_bytes - x.n_removed for x in rows)
+    assert [x.doc_id for x in sorted(rows) if x.n_removed] == [2, 3, 4, 5, 9]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("ab", min_size=1, max_size=30), min_size=1, max_size=6))
 def test_run_length_index(texts):
